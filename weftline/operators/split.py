@@ -1,0 +1,151 @@
+"""Splitting oversized texts at natural boundaries by packing a structure tree.
+
+A text is read as a tree: sections (headings) hold paragraphs, paragraphs hold lines or list
+entries, these hold sentences, sentences hold words. Sibling subtrees are merged from the left
+as long as the piece stays under the limit; only a node that alone is larger than a piece is
+opened, and only a word that alone is larger than a piece is cut between characters.
+"""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from weftline.functions.http import declared_text
+
+#: Unicode's white space and the marks that end a sentence; both are natural boundaries.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+ENDS = ".!?。！？"
+
+_BOUNDARY = re.compile(f"[{WHITE}{ENDS}]")
+_UNBROKEN = re.compile(f"[^{WHITE}{ENDS}]+")
+#: Where a node of each level ends, from the outside in. Look-aheads end a node before a heading.
+_LEVELS = (
+    re.compile(r"(?m)^(?=#{1,6}[ \t]|[^\n]{1,120}\n[=\-]{3,}[ \t]*$|\*{3,}[ \t]*$|<h[1-6][ >])"),
+    re.compile(r"\r?\n[ \t]*(?:\r?\n[ \t]*)+|</(?:p|div|section|article|ul|ol|table|blockquote)>\s+"),
+    re.compile(r"\r\n?|[\n\x0b\x0c\x85" + chr(0x2028) + chr(0x2029) + r"]|</(?:li|tr|dd|dt)>\s+"),
+    re.compile(f"[{ENDS}]+[\"'”’»)\\]]*[{WHITE}]+|[。！？]+"),
+    re.compile(f"[{WHITE}{ENDS}]"),
+)
+
+
+def longest_unbroken(text: str) -> int:
+    """Length of the longest run of characters without a natural boundary."""
+    return max((m.end() - m.start() for m in _UNBROKEN.finditer(text)), default=0)
+
+
+def pack(text: str, limit: int = 4000, overlap: int = 200) -> list[tuple[int, int, bool]]:
+    """Pieces of ``text`` as (start, end, ends naturally); each starts ``overlap`` before the last one's end.
+
+    An empty text has no piece. The end of the text counts as natural.
+    """
+    n = len(text)
+    if n == 0:
+        return []
+    if n <= limit:
+        return [(0, n, True)]
+    cuts: dict[int, list[int]] = {}
+
+    def ends(level: int) -> list[int]:
+        if level not in cuts:
+            found = {m.end() for m in _LEVELS[level].finditer(text)}
+            cuts[level] = sorted(p for p in found if 0 < p < n and _BOUNDARY.match(text, p - 1))
+        return cuts[level]
+
+    later = limit - overlap
+    spans: list[tuple[int, int]] = []
+    start = 0  # of the piece being filled, without its overlap
+    todo = [(0, n, 0)]
+    at = 0
+    while todo:
+        a, b, level = todo.pop()
+        room = limit if not spans else later
+        if b - start <= room:
+            at = b
+            continue
+        if b - a <= later and at > start:
+            spans.append((start, at))
+            start = at
+            at = b
+            continue
+        if level == len(_LEVELS):
+            # A word too long for a piece of its own: end the piece before it, then cut inside it.
+            if at > start:
+                spans.append((start, at))
+                start = at
+                todo.append((a, b, level))
+                continue
+            cut = start + room
+            spans.append((start, cut))
+            start = at = cut
+            todo.append((cut, b, level))
+            continue
+        own = ends(level)
+        inner = own[bisect_right(own, a) : bisect_left(own, b)]
+        points = [a, *inner, b]
+        todo.extend((p, q, level + 1) for p, q in zip(points[-2::-1], points[:0:-1]))
+    if at > start:
+        spans.append((start, at))
+    return [
+        (s if k == 0 else max(0, s - overlap), e, e == n or _BOUNDARY.match(text, e - 1) is not None)
+        for k, (s, e) in enumerate(spans)
+    ]
+
+
+def split_oversized(
+    df: DataFrame,
+    key: str,
+    text: str | None = None,
+    *,
+    body: str | None = None,
+    charset: Column | None = None,
+    limit: int = 4000,
+    overlap: int = 200,
+    with_text: bool = True,
+) -> DataFrame:
+    """Pieces of every text, one row per piece: (key, piece, start, end, natural, n_chars, longest_run[, piece_text]).
+
+    Give ``text`` (a string column) or ``body`` (binary, decoded by ``charset``). All other columns
+    are left behind, so their names cannot clash. A null or empty text gives no piece; a text within
+    ``limit`` gives one. Repeated rows give repeated pieces. ``start`` and ``end`` count code points;
+    consecutive pieces share exactly ``overlap`` characters. ``longest_run`` is the length of the
+    longest run of the whole text that has no natural boundary.
+    Row-local: no shuffle, one Arrow pass over two columns.
+    """
+    if not 0 <= overlap < limit:
+        raise ValueError("overlap must be at least 0 and less than limit")
+    if (text is None) == (body is None):
+        raise ValueError("give text or body")
+    source = df[text] if body is None else df[body]
+    declared = F.lit(None).cast("string") if charset is None else charset
+    rows = df.select(df[key].alias("k"), source.alias("v"), declared.alias("c")).where(F.length(source) > 0)
+    kind = rows.schema["k"].dataType.simpleString()
+    out = f"k {kind}, piece int, start int, end int, natural boolean, n_chars int, longest_run int"
+    if with_text:
+        out += ", piece_text string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(8 if with_text else 7)]
+            picked: list[int] = []
+            for i, (v, c) in enumerate(zip(batch.column(1), batch.column(2))):
+                value = v.as_py()
+                whole = value if isinstance(value, str) else declared_text(value, c.as_py())
+                pieces = pack(whole, limit, overlap)
+                run_len = longest_unbroken(whole) if pieces else 0
+                for k, (a, b, natural) in enumerate(pieces):
+                    picked.append(i)
+                    for col, x in zip(cols[1:], (k, a, b, natural, len(whole), run_len, whole[a:b])):
+                        col.append(x)
+            types = [pa.int32()] * 3 + [pa.bool_()] + [pa.int32()] * 2 + [pa.string()] * with_text
+            arrays = [batch.column(0).take(pa.array(picked, pa.int64()))]
+            arrays += [pa.array(col, kind) for col, kind in zip(cols[1:], types)]
+            names = ["k", "piece", "start", "end", "natural", "n_chars", "longest_run", "piece_text"]
+            yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
+
+    return rows.mapInArrow(run, out).withColumnRenamed("k", key)

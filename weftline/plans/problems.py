@@ -1,0 +1,40 @@
+"""Queries p1 and p6: the core operators for training data over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions.http import charset, media_type
+from weftline.operators.split import split_oversized
+
+#: Production parameters of p1.
+P1_LIMIT, P1_OVERLAP = 4000, 200
+
+
+def _plain_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fetches = spark.read.parquet(f"{sf_dir}/fetch_result.parquet")
+    return fetches.where(media_type(fetches.headers) == "text/plain")
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of the plain-text bodies; a fetch delivered again counts once."""
+    rows = _plain_bodies(spark, sf_dir)
+    pieces = split_oversized(rows, "fetch_id", body="body", charset=charset(rows.headers), limit=P1_LIMIT, overlap=P1_OVERLAP)
+    return pieces.dropDuplicates(["fetch_id", "piece"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fetch_id, cut) of each plain-text body over the limit."""
+    rows = _plain_bodies(spark, sf_dir)
+    pieces = split_oversized(
+        rows, "fetch_id", body="body", charset=charset(rows.headers), limit=P1_LIMIT, overlap=P1_OVERLAP, with_text=False
+    )
+    cut = F.when(F.col("longest_run") > P1_LIMIT, "forced").otherwise("natural")
+    first = pieces.where((F.col("piece") == 0) & (F.col("n_chars") > P1_LIMIT))
+    return first.select("fetch_id", cut.alias("cut")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+#: Charset decoding with replacement has no SQL form; tests compare p1 with brute force.
+SQL: dict[str, str] = {}
