@@ -1,0 +1,119 @@
+"""Same or nearly the same records on two sides, by an exact prefix-filter join on rare shingles.
+
+The shingles of a record are the tokens of its canonical form, ordered from rare to common over
+all records. Two records of n and m tokens that differ in at most s tokens share at least
+max(n, m) - s of them, so their s + 1 rarest tokens (the prefixes) have one in common: the prefixes
+of one side are indexed, those of the other probe them. Length and position of the shared token
+bound the overlap that is still possible; what passes is verified token by token.
+
+Equal canonical forms are one class each, so copies are joined once and expanded at the end.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.session import cut_lineage
+
+#: Tokens in more than this share of the records are ranked through a broadcast table; since a
+#: record has few tokens, at most (tokens per record / HOT_SHARE) tokens can be that common.
+HOT_SHARE = 1 / 500
+
+
+def allowed_slips(n: int) -> int:
+    """Tokens that may differ in a record of ``n`` tokens."""
+    return max(1, (3 * n) // 10)
+
+
+def _canonical_rows(df: DataFrame, key: str, text: str, side, canonical: Callable[[str | None], list[str]]) -> DataFrame:
+    rows = df.select(df[key].alias("k"), df[text].alias("t"), side.alias("side")).where(F.trim(df[text]) != "")
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [canonical(t) for t in batch.column(1).to_pylist()]
+            forms = pa.array([" ".join(t) if t else None for t in tokens], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), forms], ["k", "side", "form"])
+
+    return rows.mapInArrow(run, f"k {kind}, side boolean, form string").where("form is not null")
+
+
+def _ranked(forms: DataFrame) -> DataFrame:
+    """(form, tokens, n): tokens of each class from rare to common, ties by the token itself."""
+    # A token that stands a second time in a record is another token, so that sets are multisets.
+    nth = "size(filter(slice(split(form, ' '), 1, i), v -> v = w))"
+    numbered = forms.select("form", F.expr(f"transform(split(form, ' '), (w, i) -> concat(w, '#', cast({nth} as string)))").alias("words"))
+    tokens = numbered.select("form", F.explode("words").alias("word"))
+    counts = tokens.groupBy("word").agg(F.count("*").alias("df"))
+    total = forms.count()
+    hot = F.broadcast(counts.where(F.col("df") > max(50.0, total * HOT_SHARE)))
+    marked = tokens.join(hot, "word", "left")
+    common = marked.where("df is not null")
+    rare = marked.where("df is null").drop("df").join(counts, "word")
+    both = rare.select("form", "df", "word").union(common.select("form", "df", "word"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"])
+    return both.groupBy("form").agg(order.alias("tokens")).withColumn("n", F.size("tokens"))
+
+
+def _slips_sql(n: str) -> str:
+    return f"greatest(1, (3 * {n}) div 10)"
+
+
+def _prefixes(ranked: DataFrame, name: str) -> DataFrame:
+    """One row per token of each prefix, with its place in the order of the record."""
+    prefix = F.expr(f"slice(tokens, 1, least(n, {_slips_sql('n')} + 1))")
+    head = [F.col("form").alias(name), F.col("n").alias(f"n_{name}"), F.col("tokens").alias(f"t_{name}")]
+    return ranked.select(*head, F.posexplode(prefix).alias(f"p_{name}", "word"))
+
+
+def same_records(
+    df: DataFrame,
+    key: str,
+    text: str,
+    is_evaluation,
+    *,
+    canonical: Callable[[str | None], list[str]],
+    verify: Callable[[list[str], list[str], int], bool],
+) -> DataFrame:
+    """(a, b): every pair of one evaluation and one training record that are the same or nearly so, smaller key first.
+
+    ``is_evaluation`` is a boolean column: true for the evaluation side, false for the training
+    side; rows where it is null belong to neither. ``canonical`` maps a text to its tokens, ``verify``
+    decides on two token lists and the number of tokens that may differ. Null, blank and token-less
+    texts match nothing. Keys that repeat count once. Other columns are left behind.
+
+    Shuffles: token counts (partial aggregates), the ranked tokens, the prefixes by token, and the
+    found classes by form. No record is compared with one that shares none of its rare tokens.
+    """
+    rows = cut_lineage(_canonical_rows(df, key, text, is_evaluation, canonical).where("side is not null").dropDuplicates(["k"]))
+    classes = rows.groupBy("form").agg(F.max("side").alias("evaluation"), F.max(~F.col("side")).alias("training"))
+    ranked = _ranked(classes.select("form")).join(classes, "form")
+    index = _prefixes(ranked.where("evaluation"), "e")
+    probe = _prefixes(ranked.where("training"), "r")
+    need = "greatest(n_e - " + _slips_sql("n_e") + ", n_r - " + _slips_sql("n_r") + ")"
+    met = (
+        index.join(probe, "word")
+        .where(f"least(n_e, n_r) >= {need} and least(p_e, p_r) + least(n_e - p_e, n_r - p_r) >= {need} and e != r")
+        .where(f"size(array_intersect(t_e, t_r)) >= {need}")
+        .select("e", "r")
+        .distinct()
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for e, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = e.split(" "), r.split(" ")
+                keep.append(verify(a, b, allowed_slips(max(len(a), len(b)))))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    near = met.mapInArrow(run, "e string, r string")
+    equal = classes.where("evaluation and training").select(F.col("form").alias("e"), F.col("form").alias("r"))
+    found = near.union(equal)
+    left = rows.where("side").select(F.col("form").alias("e"), F.col("k").alias("ke"))
+    right = rows.where("not side").select(F.col("form").alias("r"), F.col("k").alias("kr"))
+    return found.join(left, "e").join(right, "r").select(F.least("ke", "kr").alias("a"), F.greatest("ke", "kr").alias("b"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.claims import canonical, same_statement
 from weftline.functions.http import charset, media_type
+from weftline.operators.overlap import same_records
 from weftline.operators.split import split_oversized
 
 #: Production parameters of p1.
@@ -35,6 +37,27 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("fetch_id", cut.alias("cut")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
-#: Charset decoding with replacement has no SQL form; tests compare p1 with brute force.
+def _claim_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    splits = spark.read.parquet(f"{sf_dir}/split_manifest.parquet").select("claim_id", "split").dropDuplicates(["claim_id"])
+    claims = spark.read.parquet(f"{sf_dir}/gold_claim.parquet").select("claim_id", "response_id", "gold_claim").dropDuplicates(["claim_id"])
+    claims = claims.join(splits, "claim_id")
+    side = F.when(F.col("split") == "heldout", True).when(F.col("split") == "dev", False)
+    return claims, same_records(claims, "claim_id", "gold_claim", side, canonical=canonical, verify=same_statement)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(claim_id_a, claim_id_b): a dev and a heldout claim that make the same statement."""
+    return _claim_pairs(spark, sf_dir)[1].select(F.col("a").alias("claim_id_a"), F.col("b").alias("claim_id_b"))
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split and response: claims that also stand on the other side, and the pairs they are in."""
+    claims, pairs = _claim_pairs(spark, sf_dir)
+    each = pairs.select(F.explode(F.array("a", "b")).alias("claim_id")).groupBy("claim_id").agg(F.count("*").alias("pairs"))
+    out = claims.join(each, "claim_id").groupBy("split", "response_id")
+    return out.agg(F.count("*").alias("claims"), F.sum("pairs").alias("pairs"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_counts": p6_counts, "p1_found": p1_found, "p1_pieces": p1_pieces}
+#: Neither decoding with replacement nor slips have a SQL form; tests compare with brute force.
 SQL: dict[str, str] = {}
