@@ -1,4 +1,4 @@
-"""Queries over fetched bodies: garbled text (p3)."""
+"""Queries over fetched bodies: garbled text (p3), main content (p4), residue (p7)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.http import charset, media_type
+from weftline.llm.blocks import main_blocks, train
 from weftline.llm.garble import garbled
+from weftline.llm.residue import build_index, frequencies, is_residue, read_pages, read_texts
 
 
 def _fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,47 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled(rows, "fetch_id", "body", charset(rows.headers)).dropDuplicates(["fetch_id"])
 
 
-QUERIES = {"p3_found": p3_found, "p3_restored": p3_restored}
-#: Charset work has no SQL form; tests compare with texts garbled on purpose.
+def _is_page(rows: DataFrame):
+    return media_type(rows.headers) == "text/html"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _fetches(spark, sf_dir)
+    return rows.where(_is_page(rows))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fetch_id, block_key): main blocks of the pages that are no residue."""
+    rows = _pages(spark, sf_dir)
+    read = read_pages(rows, "fetch_id", "body", charset(rows.headers)).where(~is_residue())
+    return read.dropDuplicates(["fetch_id"]).select("fetch_id", F.explode("block_keys").alias("block_key"))
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fetch_id, place, block_key, block): main blocks of every page with their text, in order."""
+    rows = _pages(spark, sf_dir)
+    return main_blocks(rows, "fetch_id", "body", charset(rows.headers)).dropDuplicates(["fetch_id", "place"])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fetch_id): bodies whose content is residue."""
+    rows = _fetches(spark, sf_dir)
+    media = media_type(rows.headers)
+    readable = rows.where(media.startswith("text/") | (media == "application/json"))
+    index = build_index(*frequencies(readable, "body", charset(rows.headers)))
+    pages, texts = rows.where(_is_page(rows)), readable.where(~_is_page(rows))
+    model = train(pages, "body", charset(rows.headers), "fetch_id")
+    found = read_pages(pages, "fetch_id", "body", charset(rows.headers), model, index).where(is_residue()).select("fetch_id")
+    other = read_texts(texts, "fetch_id", "body", charset(rows.headers), index).where(is_residue()).select("fetch_id")
+    return found.union(other).distinct()
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
+    "p4_found": p4_found,
+    "p4_text": p4_text,
+    "p7_found": p7_found,
+}
+#: None has a SQL form; tests compare with texts garbled, pages composed and residue planted on purpose.
 SQL: dict[str, str] = {}

@@ -1,0 +1,279 @@
+"""Template residue, filler, notices and error messages in place of content.
+
+Labelled exemplars of residue are held in an inverted index from word to exemplar. The content of
+a page is read in overlapping windows of words; each window retrieves exemplars through its words
+and is scored by the share of its TF-IDF weight that one exemplar contains. A page whose content
+lies mostly in windows of high score is residue. Weights come from the whole corpus.
+Unfilled placeholders count wherever they stand in the content, unless a sentence speaks of them.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from weftline.functions.http import declared_text
+from weftline.llm.blocks import Block, Model, block_key, headline, label_pages, parse, train
+
+#: Labelled exemplars of residue, by kind; a 9 stands for any number.
+EXEMPLARS = {
+    "error": """
+        404 page not found
+        9 - Page not found. The page you are looking for has moved or does not exist.
+        404 not found. The requested URL was not found on this server.
+        Nothing here. We could not find what you wanted. Try the search box.
+        This article is no longer available. It may have been removed by its author.
+        Oops! Something went wrong on our side. Please try again later.
+        500 internal server error. The server encountered an unexpected condition.
+        Bad gateway. The upstream server at node 9 sent no valid reply.
+        502 bad gateway. The server received an invalid response from the upstream server.
+        Service unavailable. The server is under maintenance and will return shortly.
+        503 service temporarily unavailable. Please try again later.
+        Gateway timeout. The server did not respond in time.
+        Error establishing a database connection
+        Unexpected exception. java.lang.IllegalStateException: null at app.view.Render.run(Render.java:9)
+        Fatal error: uncaught exception. Stack trace: main thrown in line 9
+        Traceback most recent call last file line 9 in module
+        Seite nicht gefunden. Die angeforderte Seite ist leider nicht vorhanden.
+        Page introuvable. Le document demandé n’existe plus sur ce serveur.
+        Página no encontrada. El contenido que busca ya no está disponible.
+        Nie znaleziono strony. Strona, której szukasz, nie istnieje.
+        Pagina non trovata. La pagina richiesta non esiste.
+        Страница не найдена. Запрошенная страница не существует.
+        Domain parked. This name may be for sale. Ask the registrar for details.
+        This domain is for sale. This account has been suspended. Contact your hosting provider.
+        """,
+    "access": """
+        Access denied. You do not have permission to view this resource. Reference 9.
+        403 forbidden. You are not allowed to access this page.
+        Checking your browser. One more step: confirm that you are human. Ray 9
+        Please complete the security check to access. Verify you are a human. Complete the captcha.
+        Too many requests. Slow down and come back in 9 seconds.
+        You have been blocked. Unusual traffic from your network.
+        Please log in to continue. You must be signed in to view this page.
+        Zugriff verweigert. Sie haben keine Berechtigung.
+        Accès refusé. Vous n’êtes pas autorisé à consulter cette page.
+        Acceso denegado. No tiene permiso para ver esta página.
+        """,
+    "scripts": """
+        You need to enable JavaScript to run this app.
+        Please enable JavaScript to view this page.
+        This application requires scripts. Turn them on in your browser settings and reload.
+        Your browser does not execute scripts, so the article cannot be displayed.
+        Loading… If nothing happens, allow scripts for this site.
+        JavaScript is disabled. Please enable JavaScript and reload the page to continue.
+        Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.
+        Activez JavaScript pour afficher le contenu de ce site.
+        Active JavaScript para ver esta página.
+        Włącz JavaScript, aby wyświetlić stronę.
+        Loading please wait
+        """,
+    "filler": """
+        Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+        Blah blah blah, more copy to come.
+        Text text text text text text.
+        asdf asdf qwer asdf jkl asdf
+        xxx xxx xxx
+        test test test
+        Coming soon: content for this block.
+        This is placeholder text. Replace it with your own story.
+        Write a few lines here to tell visitors who you are.
+        Type the description of your product in this box.
+        Your text goes here. Headline goes here. Body goes here. Subtitle goes here.
+        TODO: write this section
+        Insert summary here
+        Sample page. This is an example page.
+        Hello world. Welcome. This is your first post. Edit or delete it, then start writing.
+        Untitled. New page. Draft. No title.
+        Add your text here. Click to edit this text.
+        """,
+}
+#: Forms of unfilled placeholders.
+PLACEHOLDER = re.compile(
+    r"\{\{[^{}]{1,60}\}\}|\{%-?[^{}%]{1,60}-?%\}|\{%-? ?[a-z]+ |\$\{[^{}]{1,60}\}|<%=?[^%<>]{1,60}%>|@@\w{2,40}@@|__[A-Z][A-Z0-9_]{2,40}__"
+    r"|(?<![\w%])%[A-Z][A-Z_]{2,40}%|\[(?:[A-Z]{3,}[A-Z _]{0,40}|(?:Insert|Your|Add|Enter|Type|Write) [^\][]{2,60})\]|\[\[[a-zA-Z_. ]{2,40}\]\]"
+    r"|\bXX-[A-Z]+-XX\b|(?<![\w{$])\{[a-z][a-z_.]{2,40}\}|#[A-Z][A-Z_]{2,40}#|<<[A-Z][A-Z _]{2,40}>>"
+)
+#: Words by which a sentence speaks of placeholders instead of having one.
+_SPEAKS = re.compile(r"\b(?:tags?|placeholders?|such as|called|named|variables?|explains?|writes?|syntax|marker|field)\b[^.]{0,60}$", re.I)
+
+#: Words of a window; score of a residue window; share that makes a page residue.
+WINDOW, SCORE, COVERED = 8, 0.72, 0.3
+#: Blocks of at least this probability are content here: a notice may be all that a page has.
+CONTENT = 0.25
+
+_WORDS = re.compile(r"[^\W\d_]+|\d+")
+_NOSCRIPT = re.compile(r"<noscript[^>]*>(.*?)(?:</noscript\s*>|\Z)", re.I | re.S)
+
+
+def words_of(text: str) -> list[str]:
+    return ["9" if w[0].isdigit() else w for w in _WORDS.findall(text.lower())]
+
+
+class Index(NamedTuple):
+    """Inverted index of the exemplars with the weights of the words."""
+
+    of: dict[str, tuple[int, ...]]  # word -> exemplars
+    weight: dict[str, float]
+    rare: float  # weight of a word that no exemplar has
+
+
+def exemplars() -> list[tuple[str, set[str]]]:
+    return [(kind, set(words_of(line))) for kind, block in EXEMPLARS.items() for line in block.strip().splitlines()]
+
+
+def vocabulary() -> set[str]:
+    return set().union(*(words for _, words in exemplars()))
+
+
+def build_index(texts: int, frequency: dict[str, int]) -> Index:
+    """Index with inverse document frequencies from the corpus."""
+    of: dict[str, list[int]] = {}
+    for n, (_, words) in enumerate(exemplars()):
+        for w in words:
+            of.setdefault(w, []).append(n)
+    weight = {w: math.log((texts + 1) / (frequency.get(w, 0) + 1)) + 0.1 for w in of}
+    return Index({w: tuple(v) for w, v in of.items()}, weight, math.log(texts + 1) / 2 + 0.1)
+
+
+def covered_words(words: list[str], index: Index) -> np.ndarray:
+    """Which words of a passage lie in a window that one exemplar contains to at least ``SCORE``."""
+    n = len(words)
+    hit = np.zeros(n, bool)
+    known = [index.of.get(w) for w in words]
+    if not any(known):
+        return hit
+    weight = [index.weight.get(w, index.rare) for w in words]
+    size = min(WINDOW, n)
+    # A window of mostly unknown words cannot reach the score.
+    count = [0, *accumulate(k is not None for k in known)]
+    for a in range(n - size + 1):
+        if 2 * (count[a + size] - count[a]) < size:
+            continue
+        total, per = 0.0, {}
+        for k in range(a, a + size):
+            total += weight[k]
+            for e in known[k] or ():
+                per[e] = per.get(e, 0.0) + weight[k]
+        if per and max(per.values()) >= SCORE * total:
+            hit[a : a + size] = True
+    return hit
+
+
+def placeholders(text: str) -> bool:
+    """Whether a text has an unfilled placeholder that it does not merely speak of."""
+    return any(not _SPEAKS.search(text[max(0, m.start() - 80) : m.start()]) for m in PLACEHOLDER.finditer(text))
+
+
+def residue(blocks: list[Block], title: str, score: np.ndarray, page: str, index: Index) -> tuple[float, bool]:
+    """Share of the content that is residue, and whether it has placeholders."""
+    content = [b for b, s in zip(blocks, score) if s >= CONTENT]
+    top = headline(blocks, title)
+    body = [b for b in content if top < 0 or b is not blocks[top]]
+    texts = [b.text for b in (body or content)]
+    if not texts:
+        plain = [b.text for b in blocks if b.linked < 0.5]
+        hidden = _NOSCRIPT.findall(page)
+        texts = plain or [re.sub(r"<[^>]*>", " ", t) for t in hidden] or [b.text for b in blocks]
+    found = total = 0
+    for t in texts:
+        words = words_of(t)
+        total += len(words)
+        found += int(covered_words(words, index).sum())
+    return found / total if total else 0.0, any(placeholders(b.text) for b in content)
+
+
+def frequencies(df: DataFrame, body: str, charset: Column) -> tuple[int, dict[str, int]]:
+    """Pages of ``df`` and, for each word of the exemplars, in how many of them it stands."""
+    known = vocabulary()
+    rows = df.where(F.length(df[body]) > 0).select(df[body].alias("b"), charset.alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, counts = 0, dict.fromkeys(known, 0)
+        for batch in batches:
+            for b, c in zip(batch.column(0), batch.column(1)):
+                total += 1
+                for w in known.intersection(_WORDS.findall(declared_text(b.as_py(), c.as_py()).lower())):
+                    counts[w] += 1
+        counts[""] = total
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
+
+    got = {r["w"]: r["n"] or 0 for r in rows.mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    return got.pop("", 0), got
+
+
+def read_pages(
+    df: DataFrame, key: str, body: str, charset: Column, model: Model | None = None, index: Index | None = None
+) -> DataFrame:
+    """(key, covered, placeholders, block_keys array): what each page's content is.
+
+    ``covered`` is the share of the content in residue windows, ``block_keys`` the distinct keys of
+    the main blocks in order. Null and empty bodies have no row. Repeated rows give repeated
+    results, other columns are left behind. Row-local; model and index (fixed sizes) are broadcast.
+    """
+    rows = df.select(df[key].alias("k"), df[body].alias("b"), charset.alias("c")).where(F.length(df[body]) > 0)
+    model = model or train(df, body, charset, key)
+    index = index or build_index(*frequencies(df, body, charset))
+    shipped = df.sparkSession.sparkContext.broadcast((model, index))
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, exemplar_index = shipped.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = [declared_text(b.as_py(), c.as_py()) for b, c in zip(part.column(1), part.column(2))]
+                pages = [parse(t) for t in texts]
+                share, place, keys = [], [], []
+                for text, (blocks, title), s in zip(texts, pages, label_pages(net, pages)):
+                    covered, has = residue(blocks, title, s, text, exemplar_index)
+                    share.append(covered)
+                    place.append(has)
+                    found = dict.fromkeys(block_key(b.text) for b, p in zip(blocks, s) if p >= 0.5)
+                    found.pop("", None)
+                    keys.append(list(found))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(share, pa.float64()), pa.array(place, pa.bool_()), pa.array(keys, pa.list_(pa.string()))],
+                    ["k", "covered", "placeholders", "block_keys"],
+                )
+
+    schema = f"k {kind}, covered double, placeholders boolean, block_keys array<string>"
+    return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
+
+
+def read_texts(df: DataFrame, key: str, body: str, charset: Column, index: Index) -> DataFrame:
+    """(key, covered, placeholders) of bodies that are no pages: each line is a passage. Otherwise as ``read_pages``."""
+    rows = df.select(df[key].alias("k"), df[body].alias("b"), charset.alias("c")).where(F.length(df[body]) > 0)
+    shipped = df.sparkSession.sparkContext.broadcast(index)
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share, place = [], []
+            for b, c in zip(batch.column(1), batch.column(2)):
+                text = declared_text(b.as_py(), c.as_py())
+                found = total = 0
+                for line in text.splitlines():
+                    words = words_of(line)
+                    total += len(words)
+                    found += int(covered_words(words, shipped.value).sum())
+                share.append(found / total if total else 0.0)
+                place.append(placeholders(text))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(share, pa.float64()), pa.array(place, pa.bool_())], ["k", "covered", "placeholders"]
+            )
+
+    return rows.mapInArrow(run, f"k {kind}, covered double, placeholders boolean").withColumnRenamed("k", key)
+
+
+def is_residue() -> Column:
+    """Condition on the columns of ``read_pages``: the page is to be left out."""
+    return (F.col("covered") >= COVERED) | F.col("placeholders")
