@@ -148,46 +148,69 @@ def covered_words(words: list[str], index: Index) -> np.ndarray:
     """Which words of a passage lie in a window that one exemplar contains to at least ``SCORE``."""
     n = len(words)
     hit = np.zeros(n, bool)
-    known = [index.of.get(w) for w in words]
-    if not any(known):
+    if index.of.keys().isdisjoint(words):
         return hit
-    weight = [index.weight.get(w, index.rare) for w in words]
     size = min(WINDOW, n)
-    # A window of mostly unknown words cannot reach the score.
-    count = [0, *accumulate(k is not None for k in known)]
+    if n > 60 and not _may_cover(words, index):
+        return hit
+    weight = [index.weight.get(w, -index.rare) for w in words]
+    total = [0.0, *accumulate(map(abs, weight))]
+    known = [0.0, *accumulate(w if w > 0 else 0.0 for w in weight)]
     for a in range(n - size + 1):
-        if 2 * (count[a + size] - count[a]) < size:
+        need = SCORE * (total[a + size] - total[a])
+        if known[a + size] - known[a] < need:  # not even all exemplars together have enough
             continue
-        total, per = 0.0, {}
+        per: dict[int, float] = {}
         for k in range(a, a + size):
-            total += weight[k]
-            for e in known[k] or ():
+            for e in index.of.get(words[k], ()):
                 per[e] = per.get(e, 0.0) + weight[k]
-        if per and max(per.values()) >= SCORE * total:
+        if max(per.values()) >= need:
             hit[a : a + size] = True
     return hit
 
 
+def _may_cover(words: list[str], index: Index) -> bool:
+    """Whether some window of a long passage has enough words of exemplars, whichever they are."""
+    weight = np.fromiter((index.weight.get(w, -index.rare) for w in words), np.float64, len(words))
+    total, known = np.cumsum(np.abs(weight)), np.cumsum(np.maximum(weight, 0))
+    size = WINDOW
+    whole = np.append(total[size - 1], total[size:] - total[:-size])
+    part = np.append(known[size - 1], known[size:] - known[:-size])
+    return bool((part >= SCORE * whole - 1e-9).any())
+
+
 def placeholders(text: str) -> bool:
     """Whether a text has an unfilled placeholder that it does not merely speak of."""
+    if not ("{" in text or "[" in text or "%" in text or "__" in text or "@@" in text or "XX-" in text or "#" in text or "<<" in text):
+        return False
     return any(not _SPEAKS.search(text[max(0, m.start() - 80) : m.start()]) for m in PLACEHOLDER.finditer(text))
 
 
 def residue(blocks: list[Block], title: str, score: np.ndarray, page: str, index: Index) -> tuple[float, bool]:
     """Share of the content that is residue, and whether it has placeholders."""
-    content = [b for b, s in zip(blocks, score) if s >= CONTENT]
     top = headline(blocks, title)
-    body = [b for b in content if top < 0 or b is not blocks[top]]
-    texts = [b.text for b in (body or content)]
-    if not texts:
-        plain = [b.text for b in blocks if b.linked < 0.5]
-        hidden = _NOSCRIPT.findall(page)
-        texts = plain or [re.sub(r"<[^>]*>", " ", t) for t in hidden] or [b.text for b in blocks]
     found = total = 0
-    for t in texts:
-        words = words_of(t)
-        total += len(words)
-        found += int(covered_words(words, index).sum())
+    whole: list[tuple[int, int]] = []  # the headline counts only where nothing else is content
+    content = []
+    for i, (b, s) in enumerate(zip(blocks, score)):
+        if b.linked > 0.5:
+            continue
+        words = words_of(b.text)
+        hit = int(covered_words(words, index).sum())
+        # A block that is nothing but residue is content wherever the labeller sees it.
+        if s < CONTENT and (not hit or hit < SCORE * len(words)):
+            continue
+        content.append(b)
+        if i == top:
+            whole.append((hit, len(words)))
+        else:
+            found, total = found + hit, total + len(words)
+    if not total and not whole:
+        for t in [b.text for b in blocks if b.linked < 0.5] or [re.sub(r"<[^>]*>", " ", t) for t in _NOSCRIPT.findall(page)]:
+            words = words_of(t)
+            whole.append((int(covered_words(words, index).sum()), len(words)))
+    if not total:
+        found, total = sum(h for h, _ in whole), sum(n for _, n in whole)
     return found / total if total else 0.0, any(placeholders(b.text) for b in content)
 
 
@@ -250,7 +273,7 @@ def read_pages(
 
 
 def read_texts(df: DataFrame, key: str, body: str, charset: Column, index: Index) -> DataFrame:
-    """(key, covered, placeholders) of bodies that are no pages: each line is a passage. Otherwise as ``read_pages``."""
+    """(key, covered, placeholders) of bodies that are no pages: the text is one passage. Otherwise as ``read_pages``."""
     rows = df.select(df[key].alias("k"), df[body].alias("b"), charset.alias("c")).where(F.length(df[body]) > 0)
     shipped = df.sparkSession.sparkContext.broadcast(index)
     kind = rows.schema["k"].dataType.simpleString()
@@ -260,11 +283,9 @@ def read_texts(df: DataFrame, key: str, body: str, charset: Column, index: Index
             share, place = [], []
             for b, c in zip(batch.column(1), batch.column(2)):
                 text = declared_text(b.as_py(), c.as_py())
-                found = total = 0
-                for line in text.splitlines():
-                    words = words_of(line)
-                    total += len(words)
-                    found += int(covered_words(words, shipped.value).sum())
+                words = words_of(text)
+                total = len(words)
+                found = int(covered_words(words, shipped.value).sum())
                 share.append(found / total if total else 0.0)
                 place.append(placeholders(text))
             yield pa.RecordBatch.from_arrays(
