@@ -16,6 +16,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -222,11 +223,24 @@ class _Buckets(dict):
     def __missing__(self, s: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        self[s] = n = _bucket(s, self.size)
+        self[s] = n = _bucket("9" if s[0].isdigit() else s, self.size)
         return n
 
 
 _WORD_BUCKETS, _PATH_BUCKETS = _Buckets(WORDS), _Buckets(PATHS)
+_HEADS = frozenset(("h1", "h2", "h3", "h4"))
+_ROLE_TAGS = frozenset("main article nav header footer aside section".split())
+
+
+@lru_cache(maxsize=20_000)
+def _path_buckets(names: tuple[str, ...], roles: tuple[str, ...], hide: bool) -> tuple[int, ...]:
+    """Buckets of the innermost elements of a tag path, with or without what tells their role."""
+    out = []
+    for k, (name, role) in enumerate(zip(names[::-1], roles[::-1])):
+        out.append(_PATH_BUCKETS[f"t{k}{'div' if hide and name in _ROLE_TAGS else name}"])
+        if role and not hide:
+            out.extend(_PATH_BUCKETS["h" if _HASHED.match(r) else "r" + r] for r in role.split())
+    return tuple(out)
 
 
 class Page(NamedTuple):
@@ -248,50 +262,46 @@ def features(blocks: list[Block], title: str, hide: bool = False) -> Page:
         s = share.setdefault(b.nodes[-2] if len(b.nodes) > 1 else 0, [0.0, 0.0])
         s[0] += len(b.text) * b.linked
         s[1] += len(b.text)
-    words, word_at, paths, path_at = [], [], [], []
-    rows = np.zeros((len(blocks), MEASURES), np.float32)
+    words, word_at, paths, path_at, rows = [], [], [], [], []
     n = len(blocks)
+    depth = max(1, len(top_nodes))
+    bucket = _WORD_BUCKETS.__getitem__
     for i, b in enumerate(blocks):
+        text = b.text
         word_at.append(len(words))
-        tokens = _WORD.findall(b.text.lower()) or ["-"]
-        words.extend([_WORD_BUCKETS["9" if t[0].isdigit() else t] for t in tokens])
+        words.extend(map(bucket, _WORD.findall(text.lower()) or ["-"]))
         path_at.append(len(paths))
-        names = b.names[-4:]
-        for k, (name, role) in enumerate(zip(names[::-1], b.roles[: -5 : -1])):
-            if hide and name in ("main", "article", "nav", "header", "footer", "aside", "section"):
-                name = "div"
-            paths.append(_PATH_BUCKETS[f"{k}{name}"])
-            if role and not hide:
-                for r in role.split():
-                    paths.append(_PATH_BUCKETS["h" if _HASHED.match(r) else "r" + r])
-        paths.extend([_PATH_BUCKETS["i" + w] for w in _intro(b.text)])
+        paths.extend(_path_buckets(b.names[-4:], b.roles[-4:], hide))
+        paths.extend([_PATH_BUCKETS["i" + w] for w in _intro(text)])
         common = 0
         for x, y in zip(b.nodes, top_nodes):
             if x != y:
                 break
             common += 1
         s = share[b.nodes[-2] if len(b.nodes) > 1 else 0]
-        text = b.text
-        rows[i] = (
-            min(len(text), 800) / 200,
-            b.linked,
-            s[0] / max(1.0, s[1]),
-            text[-1] in ".!?…。”\"",
-            i == top,
-            top >= 0 and i > top,
-            common / max(1, len(top_nodes)),
-            (len(top_nodes) - common) / 3,
-            _is_byline(b),
-            "©" in text or "(c)" in text,
-            len(_DIGIT.findall(text)) / len(text),
-            ":" in text[:14],
-            i / n,
-            b.rule,
-            any(x in ("h1", "h2", "h3", "h4") for x in b.names[-2:]),
-            top < 0,
+        rows.append(
+            (
+                min(len(text), 800) / 200,
+                b.linked,
+                s[0] / max(1.0, s[1]),
+                text[-1] in ".!?…。”\"",
+                i == top,
+                top >= 0 and i > top,
+                common / depth,
+                (len(top_nodes) - common) / 3,
+                _is_byline(b),
+                "©" in text or "(c)" in text,
+                len(_DIGIT.findall(text)) / len(text),
+                ":" in text[:14],
+                i / n,
+                b.rule,
+                not _HEADS.isdisjoint(b.names[-2:]),
+                top < 0,
+            )
         )
     asint = lambda x: np.asarray(x, np.int64)
-    return Page(asint(words), asint(word_at), asint(paths), asint(path_at), rows)
+    measures = np.array(rows, np.float32).reshape(-1, MEASURES)
+    return Page(asint(words), asint(word_at), asint(paths), asint(path_at), measures)
 
 
 Model = dict[str, np.ndarray]
@@ -453,9 +463,13 @@ def fit(sample: list[tuple[list[Block], str]], seed: int = 7, epochs: int = EPOC
 
 
 def train(df: DataFrame, body: str, charset: Column, key: str, pages: int = TRAIN_PAGES) -> Model:
-    """Train on a bounded sample of the pages of ``df``: the ``pages`` rows of smallest hash of the key."""
-    rows = df.where(F.length(df[body]) > 0).select(df[body].alias("b"), charset.alias("c"), F.xxhash64(df[key]).alias("h"))
-    picked = rows.orderBy("h", F.length("b")).limit(pages).collect()
+    """Train on a bounded sample of ``df``: rows whose hashed key lies in a share of the hash space that holds about ``pages`` rows."""
+    rows = df.count()
+    part = df.where(F.length(df[body]) > 0)
+    if rows > pages:
+        part = part.where(F.xxhash64(df[key]) < int(-(2**63) + 2**64 * (pages / rows)))
+    picked = part.select(F.xxhash64(df[key]).alias("h"), df[body].alias("b"), charset.alias("c")).limit(2 * pages).collect()
+    picked.sort(key=lambda r: (r["h"], len(r["b"])))
     return fit([parse(declared_text(r["b"], r["c"])) for r in picked])
 
 
