@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.sampling import numbered
+
 #: Fixed values of the draw formula (a linear congruence); any engine with 64-bit integers gives the same draws.
 _A, _C, _M = 1103515245, 12345, 2147483648
 
@@ -15,15 +17,14 @@ def draws(spark, clusters: DataFrame, key: str, samples: int, seed: int) -> Data
     Row ``n`` of replicate ``b`` takes the cluster whose place in key order is a congruence of both.
     The draws are as many as clusters times samples; they are made and joined in parallel.
     """
-    from pyspark.sql import Window
-
-    placed = clusters.select(key).distinct().withColumn("place", F.row_number().over(Window.orderBy(key)) - 1)
-    size = placed.count()
+    each = clusters.select(key).distinct()
+    size = each.count()
     if not size:
-        return placed.select(F.lit(0).cast("bigint").alias("replicate"), key).where("false")
+        return each.select(F.lit(0).cast("bigint").alias("replicate"), key)
+    placed = numbered(each, "place", key)
     n = spark.range(samples * size).withColumnRenamed("id", "n")
     value = F.pmod(F.pmod((F.col("n") + seed) * _A + _C, F.lit(_M)) * _A + _C, F.lit(_M))
-    drawn = n.select((F.col("n") / size).cast("bigint").alias("replicate"), F.pmod(F.floor(value / 65536), F.lit(size)).cast("int").alias("place"))
+    drawn = n.select((F.col("n") / size).cast("bigint").alias("replicate"), F.pmod(F.floor(value / 65536), F.lit(size)).cast("bigint").alias("place"))
     return drawn.join(placed, "place").select("replicate", key)
 
 

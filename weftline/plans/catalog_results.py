@@ -78,17 +78,19 @@ def _transitions(s, d):
 @query("metric_diff", f"{BASE}, {BY}, m as (select setting, {RATES} from cn) select b.setting, round(b.accuracy - a.accuracy, 6) as accuracy, round(b.coverage - a.coverage, 6) as coverage, round(b.macro_f1 - a.macro_f1, 6) as macro_f1 from m a join m b on a.setting = 'no_evidence' and b.setting <> 'no_evidence'")
 def _diff(s, d):
     m = M.rates(M.counts(states(s, d), "setting"), "setting")
-    a = m.where("setting = 'no_evidence'").select(*[F.col(c).alias(f"_{c}") for c in ("accuracy", "coverage", "macro_f1")])
-    both = m.where("setting <> 'no_evidence'").crossJoin(F.broadcast(a))  # one row on the right
-    return both.select("setting", *[F.round(F.col(c) - F.col(f"_{c}"), 6).alias(c) for c in ("accuracy", "coverage", "macro_f1")])
+    base = m.where("setting = 'no_evidence'").first()  # one row
+    if base is None:
+        return m.where("false").select("setting", "accuracy", "coverage", "macro_f1")
+    cells = [F.round(F.col(c) - F.lit(base[c]), 6).alias(c) for c in ("accuracy", "coverage", "macro_f1")]
+    return m.where("setting <> 'no_evidence'").select("setting", *cells)
 
 
 @query("benefit_recovery", f"{BASE}, {BY}, m as (select setting, correct / total as a from cn) select r.setting, round((r.a - n.a) / nullif(o.a - n.a, 0), 6) as recovered from m r, m n, m o where r.setting like 'retrieved%' and n.setting = 'no_evidence' and o.setting = 'oracle_evidence'")
 def _recovery(s, d):
     m = M.counts(states(s, d), "setting").select("setting", (F.col("correct") / F.col("total")).alias("a"))
-    ends = m.agg(F.max(F.when(F.col("setting") == "no_evidence", F.col("a"))).alias("n"), F.max(F.when(F.col("setting") == "oracle_evidence", F.col("a"))).alias("o"))
-    both = m.where("setting like 'retrieved%'").crossJoin(F.broadcast(ends))  # one row on the right
-    return both.select("setting", F.round(F.try_divide(F.col("a") - F.col("n"), F.col("o") - F.col("n")), 6).alias("recovered"))
+    ends = {r["setting"]: r["a"] for r in m.where("setting in ('no_evidence', 'oracle_evidence')").collect()}  # two rows
+    none, oracle = F.lit(ends.get("no_evidence")).cast("double"), F.lit(ends.get("oracle_evidence")).cast("double")
+    return m.where("setting like 'retrieved%'").select("setting", F.round(F.try_divide(F.col("a") - none, oracle - none), 6).alias("recovered"))
 
 
 @query("depth_contrasts", f"{BASE}, {COUNTS.format(by='setting')} select a.setting as deeper, b.setting as shallower, a.correct - b.correct as more_correct from cn a join cn b on a.setting > b.setting and a.setting like 'retrieved%' and b.setting like 'retrieved%'")
