@@ -26,6 +26,8 @@ from weftline.llm.cutoff import _open_json, cut_values, output_ending
 LABELS = ("empty", "truncated", "refusal", "copy", "language")
 #: Hash space, rows of the training sample, epochs (more where the sample is small), and the least recall of a calibrated threshold.
 SPACE, TRAIN_ROWS, EPOCHS, RECALL = 1 << 16, 4000, 6, 0.995
+#: Places of each of the main pair features, and n-grams that weigh in full.
+PAIR_PLACES, GRAMS = 4, 24
 #: Highest threshold of each label: low where an exact check follows.
 MOST = (0.2, 0.1, 0.5, 0.2, 0.2)
 #: Words that may stand around a repeated claim.
@@ -164,8 +166,8 @@ def _h(s: str) -> int:
     return zlib.crc32(s.encode()) % SPACE
 
 
-def features(answer: Answer, claim: str | None) -> list[int]:
-    """Hashed features of an answer to a claim."""
+def features(answer: Answer, claim: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of an answer to a claim and their values; n-grams of a long answer count less each."""
     claim = claim or ""
     prose = answer.prose
     end, _ = output_ending(answer.raw)
@@ -191,11 +193,15 @@ def features(answer: Answer, claim: str | None) -> list[int]:
         _h(f"language {pair} added {min(added, 6)}"),
         _h(f"languages {ours} {theirs}"),
     ]
+    # Pair features stand against dozens of n-grams; each has several places, so that it weighs as much.
+    out += [_h(f"{name} {k}") for name in (f"languages are {pair}", f"copied {share > 0.85 and added <= FRAME_WORDS}", f"ends {end.state}") for k in range(PAIR_PLACES)]
     words = ["9" if w[0].isdigit() else "N" if w[0].isupper() and i else w.lower() for i, w in enumerate(_WORD.findall(_QUOTED.sub(" ", prose)))]
-    out += [_h(f"1 {w}") for w in words]
-    out += [_h(f"2 {a} {b}") for a, b in zip(words, words[1:])]
-    out += [_h(f"3 {a} {b} {c}") for a, b, c in zip(words, words[1:], words[2:])]
-    return sorted(set(out))
+    grams = {_h(f"1 {w}") for w in words}
+    grams |= {_h(f"2 {a} {b}") for a, b in zip(words, words[1:])}
+    grams |= {_h(f"3 {a} {b} {c}") for a, b, c in zip(words, words[1:], words[2:])}
+    value = np.ones(len(out) + len(grams), np.float32)
+    value[len(out) :] = min(1.0, GRAMS / max(1, len(grams)))
+    return np.array(out + sorted(grams), np.int64), value
 
 
 class Classifier(NamedTuple):
@@ -290,12 +296,13 @@ def fit(sample: list[tuple[str, str]], seed: int = 5) -> Classifier:
         rnd.shuffle(train)
         for at in range(0, len(train), 64):
             batch = train[at : at + 64]
-            size = np.array([len(matrix[i]) for i in batch])
-            index = np.concatenate([np.asarray(matrix[i]) for i in batch])
+            size = np.array([len(matrix[i][0]) for i in batch])
+            index = np.concatenate([matrix[i][0] for i in batch])
+            value = np.concatenate([matrix[i][1] for i in batch])[:, None]
             start = np.cumsum(size) - size
-            z = np.add.reduceat(weights[index], start) + bias
+            z = np.add.reduceat(weights[index] * value, start) + bias
             grad = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[batch]) * (1 + 2 * target[batch])
-            flat = np.repeat(grad, size, axis=0)
+            flat = np.repeat(grad, size, axis=0) * value
             found, where = np.unique(index, return_inverse=True)
             g = np.zeros((len(found), len(LABELS)), np.float32)
             np.add.at(g, where, flat)
@@ -312,8 +319,9 @@ def fit(sample: list[tuple[str, str]], seed: int = 5) -> Classifier:
     return Classifier(weights, bias, threshold)
 
 
-def _score(weights: np.ndarray, bias: np.ndarray, index: list[int]) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(weights[index].sum(0) + bias, -30, 30)))
+def _score(weights: np.ndarray, bias: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    index, value = found
+    return 1 / (1 + np.exp(-np.clip(value @ weights[index] + bias, -30, 30)))
 
 
 def train(df: DataFrame, key: str, output: str, claim: str, rows: int = TRAIN_ROWS) -> Classifier:
