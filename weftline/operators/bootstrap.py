@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.sampling import numbered
 
-#: Fixed values of the draw formula (a linear congruence); any engine with 64-bit integers gives the same draws.
-_A, _C, _M = 1103515245, 12345, 2147483648
+#: Fixed values of the draw formula (SplitMix64): any engine with 64-bit integers that wrap gives the same draws.
+_STEP, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Draws that are made at a time.
+CHUNK = 1 << 18
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _FIRST
+    x = (x ^ (x >> np.uint64(27))) * _SECOND
+    return x ^ (x >> np.uint64(31))
+
+
+def places(seed: int, replicate: int, size: int) -> Iterator[np.ndarray]:
+    """The ``size`` places that a replicate draws among ``size``, in chunks.
+
+    Draw ``n`` is number ``n`` of the stream whose state is mixed from seed and replicate: all 64 bits of it,
+    modulo the size, so every place can be drawn and neither draws nor replicates are an affine walk.
+    """
+    state = _mix(_mix(np.array([seed % 2**64], np.uint64) + _STEP) + np.array([replicate + 1], np.uint64) * _STEP)
+    for start in range(0, size, CHUNK):
+        n = np.arange(start + 1, min(size, start + CHUNK) + 1, dtype=np.uint64)
+        yield (_mix(state + n * _STEP) % np.uint64(size)).astype(np.int64)
 
 
 def draws(spark, clusters: DataFrame, key: str, samples: int, seed: int) -> DataFrame:
-    """(replicate, place, key): ``samples`` resamples of as many clusters as there are, drawn with replacement.
+    """(replicate, key): ``samples`` resamples of as many clusters as there are, drawn with replacement.
 
-    Row ``n`` of replicate ``b`` takes the cluster whose place in key order is a congruence of both.
+    ``places`` says which clusters, by their place in key order.
     The draws are as many as clusters times samples; they are made and joined in parallel.
     """
     each = clusters.select(key).distinct()
@@ -22,9 +46,14 @@ def draws(spark, clusters: DataFrame, key: str, samples: int, seed: int) -> Data
     if not size:
         return each.select(F.lit(0).cast("bigint").alias("replicate"), key)
     placed = numbered(each, "place", key)
-    n = spark.range(samples * size).withColumnRenamed("id", "n")
-    value = F.pmod(F.pmod((F.col("n") + seed) * _A + _C, F.lit(_M)) * _A + _C, F.lit(_M))
-    drawn = n.select((F.col("n") / size).cast("bigint").alias("replicate"), F.pmod(F.floor(value / 65536), F.lit(size)).cast("bigint").alias("place"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                for place in places(seed, b, size):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), b)), pa.array(place)], ["replicate", "place"])
+
+    drawn = spark.range(samples).mapInArrow(run, "replicate bigint, place bigint")
     return drawn.join(placed, "place").select("replicate", key)
 
 
