@@ -8,13 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from weftline.operators.sampling import numbered
+from weftline.session import cut_lineage
 
 #: Fixed values of the draw formula (SplitMix64): any engine with 64-bit integers that wrap gives the same draws.
 _STEP, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Draws that are made at a time.
-CHUNK = 1 << 18
+#: Draws that are made at a time, and clusters whose rows are sent to the workers at a time.
+CHUNK, BLOCK = 1 << 18, 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,6 +63,63 @@ def intervals(stats: DataFrame, drawn: DataFrame, key: str, by: list[str], value
     """Percentile interval of ``value`` over the replicates; ``parts`` are summed per replicate, weighted by how often each cluster was drawn."""
     weights = drawn.groupBy("replicate", key).agg(F.count("*").alias("times"))
     sums = weights.join(stats, key).groupBy("replicate", *by).agg(*[F.sum(F.col(p) * F.col("times")).alias(p) for p in parts])
+    return _percentiles(sums, by, value, name)
+
+
+def resampled(stats: DataFrame, key: str, by: list[str], value: Column, parts: list[str], name: str, samples: int, seed: int) -> DataFrame:
+    """``intervals`` over ``draws``, without a row for each draw: the draws stay in Arrow batches as multiplicities.
+
+    Each task makes whole replicates and sends on their sums only. The clusters' rows are broadcast in
+    blocks of ``BLOCK`` places; beyond one block each block counts all draws again for its own places.
+    """
+    spark = stats.sparkSession
+    stats = cut_lineage(stats.select(key, *by, *[F.coalesce(F.col(p).cast("double"), F.lit(0.0)).alias(p) for p in parts]))
+    each = stats.select(key).distinct()
+    size = each.count()
+    schema = StructType([StructField("replicate", LongType()), *[stats.schema[c] for c in by], *[StructField(p, DoubleType()) for p in parts]])
+    if not size:
+        return _percentiles(spark.createDataFrame([], schema), by, value, name)
+    rows = cut_lineage(stats.join(numbered(each, "place", key), key).select("place", *by, *parts))
+    out = None
+    for low in range(0, size, BLOCK):
+        high = min(size, low + BLOCK)
+        block = rows.where(F.col("place").between(low, high - 1)).toArrow()
+        codes: dict[tuple, int] = {}
+        group = np.array([codes.setdefault(g, len(codes)) for g in zip(*[block.column(c).to_pylist() for c in by])] if by else [0] * len(block), np.int64)
+        if not len(group):
+            continue
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        # In the order of their codes, as the rows are.
+        names = [pa.array([g[k] for g in codes] if by else [], block.schema.field(c).type) for k, c in enumerate(by)]
+        amounts = np.column_stack([block.column(p).to_numpy() for p in parts])[order]
+        shipped = spark.sparkContext.broadcast((block.column("place").to_numpy()[order] - low, starts, names, amounts))
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, low=low, high=high) -> Iterator[pa.RecordBatch]:
+            place, starts, names, amounts = shipped.value
+            for batch in batches:
+                for b in batch.column(0).to_pylist():
+                    times = np.zeros(high - low, np.int64)
+                    for p in places(seed, b, size):
+                        times += np.bincount(p[(p >= low) & (p < high)] - low, minlength=high - low)
+                    mine = times[place]
+                    sums = np.add.reduceat(amounts * mine[:, None], starts)
+                    drawn = np.add.reduceat(mine, starts) > 0
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(drawn.sum(), b)), *[n.filter(pa.array(drawn)) for n in names], *[pa.array(c) for c in sums[drawn].T]],
+                        ["replicate", *by, *parts],
+                    )
+
+        found = spark.range(samples).mapInArrow(run, schema)
+        out = found if out is None else out.unionAll(found)
+    if out is None:
+        return _percentiles(spark.createDataFrame([], schema), by, value, name)
+    if size > BLOCK:
+        out = out.groupBy("replicate", *by).agg(*[F.sum(p).alias(p) for p in parts])
+    return _percentiles(out, by, value, name)
+
+
+def _percentiles(sums: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
     per = sums.withColumn(name, value).where(F.col(name).isNotNull())
     return per.groupBy(*by).agg(
         F.count("*").alias("replicates"),

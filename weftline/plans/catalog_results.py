@@ -13,6 +13,8 @@ from weftline.plans.common import COUNTS, F1, G, R, STATE, claims, results, tabl
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 SEED, SAMPLES = 20260722, 200
+#: Replicates of the full job; SAMPLES are those of the SQL, which has fewer.
+REPLICATES = 10_000
 
 
 def query(name: str, sql: str | None = None):
@@ -166,17 +168,15 @@ wt as (select replicate, response_id, count(*) as times from dr join pl using (p
 @query("bootstrap_ci", f"{BASE}, {COUNTS.format(by='setting, response_id')}, {_DRAWS}, rp as (select replicate, setting, sum(times * correct) / nullif(sum(times * total), 0) as v from wt join cn using (response_id) group by 1, 2) select setting, count(v) as replicates, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from rp where v is not null group by 1")
 def _bootstrap(s, d):
     c = M.counts(states(s, d), "setting", "response_id")
-    drawn = B.draws(s, c, "response_id", SAMPLES, SEED)
-    return B.intervals(c, drawn, "response_id", ["setting"], M.ratio(F.col("correct"), F.col("total")), ["correct", "total"], "v")
+    return B.resampled(c, "response_id", ["setting"], M.ratio(F.col("correct"), F.col("total")), ["correct", "total"], "v", REPLICATES, SEED)
 
 
 @query("branch_bootstrap", f"{BASE}, {COUNTS.format(by='setting, response_id')}, {_DRAWS}, rp as (select replicate, sum(case when setting = 'oracle_evidence' then times * correct end) / nullif(sum(case when setting = 'oracle_evidence' then times * total end), 0) - sum(case when setting = 'no_evidence' then times * correct end) / nullif(sum(case when setting = 'no_evidence' then times * total end), 0) as v from wt join cn using (response_id) group by 1) select count(v) as replicates, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from rp where v is not null")
 def _branch(s, d):
     c = M.counts(states(s, d), "setting", "response_id")
-    drawn = B.draws(s, c, "response_id", SAMPLES, SEED)
     wide = c.groupBy("response_id").pivot("setting", ["no_evidence", "oracle_evidence"]).agg(F.sum("correct").alias("c"), F.sum("total").alias("t")).na.fill(0)
     value = M.ratio(F.col("oracle_evidence_c"), F.col("oracle_evidence_t")) - M.ratio(F.col("no_evidence_c"), F.col("no_evidence_t"))
-    return B.intervals(wide, drawn, "response_id", [], value, ["oracle_evidence_c", "oracle_evidence_t", "no_evidence_c", "no_evidence_t"], "v")
+    return B.resampled(wide, "response_id", [], value, ["oracle_evidence_c", "oracle_evidence_t", "no_evidence_c", "no_evidence_t"], "v", REPLICATES, SEED)
 
 
 _VS = f"with {R}, v as (select response_id, setting, count(*) as claims, count_if(status = 'ok' and upper(prediction) = 'FACTUAL') as supported from r group by 1, 2)"
