@@ -12,7 +12,7 @@ from weftline.operators import retrieval as R
 from weftline.operators import sampling as P
 from weftline.plans.catalog_claims import E, PROBLEM, evidence
 from weftline.plans.catalog_results import _VS, _F1K, _supported
-from weftline.plans.catalog_retrieval import _DENSE, _EVAL, _RRF, _dense_run, _qrels
+from weftline.plans.catalog_retrieval import _DENSE, _EVAL, _RRF, _dense_run, _fused, _qrels
 from weftline.plans.common import F_, G, R as RESULTS, TOKENS, claims, fetches, results, table
 from weftline.sources.io import guard_columns
 
@@ -176,8 +176,7 @@ def _effects(s, d):
 
 @query("hybrid_topk", f"{_DENSE}, {_RRF} select query_id, count(*) as n, sum(vec_id) as ids from rr where rank <= 5 group by 1")
 def _hybrid(s, d):
-    run = R.fuse([_dense_run(s, d), _dense_run(s, d, True)], "query_id", "vec_id", 5)
-    return run.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
+    return _fused(s, d, 5).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
 
 
 _RDRAWS = "pl as (select label, row_number() over (order by label) - 1 as place, count(*) over () as size from (select distinct label from cl)), dr as (select n // size as replicate, ((((((n + 42) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536) % size as place from (select unnest(range(0, 200 * (select max(size) from pl)::bigint)) as n), (select max(size)::bigint as size from pl)), wt as (select replicate, label, count(*) as times from dr join pl using (place) group by 1, 2)"

@@ -11,6 +11,8 @@ from weftline.plans.common import TOKENS, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: Ranks of each run that fusion takes.
+DEPTH = 100
 
 
 def query(name: str, sql: str | None = None):
@@ -79,9 +81,14 @@ def _dense(s, d):
 _RRF = "u as (select query_id, vec_id, rank from ra where rank <= 10 union all select query_id, vec_id, rank from rb where rank <= 10), f as (select query_id, vec_id, round(sum(1.0 / (60 + rank)), 9) as score from u group by 1, 2), rr as (select query_id, vec_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from f)"
 
 
+def _fused(s, d, k: int = 10):
+    """The ``k`` best of both dense runs, fused to the surveyed depth; the SQL cuts both runs at rank 10 before."""
+    return R.fuse([_dense_run(s, d, k=DEPTH), _dense_run(s, d, True, DEPTH)], "query_id", "vec_id", k, DEPTH)
+
+
 @query("rrf_topk", f"{_DENSE}, {_RRF} select * from rr where rank <= 10")
 def _rrf(s, d):
-    return R.fuse([_dense_run(s, d), _dense_run(s, d, True)], "query_id", "vec_id").select("query_id", "vec_id", "rank")
+    return _fused(s, d).select("query_id", "vec_id", "rank")
 
 
 def _qrels(s, d):
@@ -103,8 +110,7 @@ def _eval(s, d):
 
 @query("ndcg", f"{_DENSE}, {_RRF}, {_EVAL.format(run='rr', x='')} select query_id, ndcg from ev")
 def _ndcg(s, d):
-    run = R.fuse([_dense_run(s, d), _dense_run(s, d, True)], "query_id", "vec_id")
-    return R.evaluate(run, _qrels(s, d), "query_id", "vec_id").select("query_id", "ndcg")
+    return R.evaluate(_fused(s, d), _qrels(s, d), "query_id", "vec_id").select("query_id", "ndcg")
 
 
 _MEANS = "count(*) as queries, round(avg(reciprocal_rank), 6) as mrr, round(avg(case when first_rank <= 5 then 1.0 else 0.0 end), 6) as recall_5"
@@ -113,7 +119,7 @@ _MEANS = "count(*) as queries, round(avg(reciprocal_rank), 6) as mrr, round(avg(
 @query("retriever_compare", f"{_DENSE}, {_RRF}, {_EVAL.format(run='ra', x='')}, {_EVAL.format(run='rr', x='2')} select 'dense' as retriever, {_MEANS} from ev union all select 'fused', {_MEANS} from ev2")
 def _compare(s, d):
     qrels = _qrels(s, d)
-    runs = {"dense": _dense_run(s, d), "fused": R.fuse([_dense_run(s, d), _dense_run(s, d, True)], "query_id", "vec_id")}
+    runs = {"dense": _dense_run(s, d), "fused": _fused(s, d)}
     out = [R.evaluate(run, qrels, "query_id", "vec_id").withColumn("retriever", F.lit(n)) for n, run in runs.items()]
     rows = Q.union_all(*out).groupBy("retriever")
     hit = F.when(F.col("first_rank") <= 5, 1.0).otherwise(0.0)
