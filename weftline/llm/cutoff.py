@@ -15,6 +15,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -30,8 +31,10 @@ ENCODINGS = ("chars", "utf8", "utf16", "latin1", "html", "html_refs", "json", "j
 #: length, which are so many times as many as at a mean nearby length.
 LIMIT_SIZE, LIMIT_VALUES, LIMIT_BAD, LIMIT_TIMES, NEARBY = 50, 5, 0.5, 4, 10
 #: Whole sentences that must end with the same two words, places where a word must stand, share of
-#: its places at the end of a sentence below which it ends none, and values that end with the same short unit.
-ATTESTED, KNOWN, NEVER_ENDS, REPEATED = 2, 4, 0.004, 3
+#: its places at the end of a sentence below which it ends none.
+ATTESTED, KNOWN, NEVER_ENDS = 2, 4, 0.004
+#: A short unit that ends values properly: so many whole units of its shape, and so large a share of all units that begin with it.
+REPEATED, WHOLE = 3, 0.1
 #: Share of names ending with the same three letters below which a name is taken as broken off.
 NAME_END = 0.12
 
@@ -88,6 +91,18 @@ def _unit(line: str) -> str:
     return " ".join(map(_mask, words)) if len(line) <= 60 and len(words) <= 6 else ""
 
 
+def _beginnings(unit: str, whole: bool) -> list[str]:
+    """Shapes with which a unit begins and goes on, short enough for ``_unit``; ``whole`` if it ends with its last word."""
+    shape, out = "", []
+    found = list(islice(_WORD.finditer(unit[:100]), 7))
+    for n, m in enumerate(found[:6], 1):
+        if m.end() > 60 or whole and n == len(found):
+            break
+        shape = f"{shape} {_mask(m.group())}" if shape else _mask(m.group())
+        out.append(shape)
+    return out
+
+
 def ending(text: str) -> Ending:
     """Ending of prose."""
     text = text.rstrip(" \t\r\n ​﻿")
@@ -241,7 +256,8 @@ def _units(text: str, field: str, media: str) -> list[str]:
 
 
 def _statistics(texts: DataFrame) -> DataFrame:
-    """(kind, key, n): endings of whole sentences, words inside units, ends and insides of names by three letters, short units."""
+    """(kind, key, n): endings of whole sentences, words inside units, ends and insides of names by three letters,
+    short units, beginnings of longer units, last words of units without a stop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,6 +267,8 @@ def _statistics(texts: DataFrame) -> DataFrame:
             name_end: Counter[str] = Counter()
             name_any: Counter[str] = Counter()
             short: Counter[str] = Counter()
+            begin: Counter[str] = Counter()
+            tail: Counter[str] = Counter()
             for row in batch.to_pylist():
                 text, media = _value(row)
                 for unit in _units(text, row["field"], media):
@@ -259,6 +277,9 @@ def _statistics(texts: DataFrame) -> DataFrame:
                         continue
                     shut = unit.rstrip(" \t\r" + _CLOSERS)
                     bare = shut.rstrip(_STOP)
+                    begin.update(_beginnings(unit.strip(), bare == shut))
+                    if bare == shut:
+                        tail[words[-1]] += 1
                     if bare != shut:  # a whole sentence
                         if bare and _CJK.match(bare[-1]):
                             ends[bare[-2:]] += 1
@@ -274,7 +295,7 @@ def _statistics(texts: DataFrame) -> DataFrame:
                             low = w.lower()
                             name_end[low[-3:]] += 1
                             name_any.update([low[i : i + 3] for i in range(len(low) - 2)])
-            rows = [(k, w, n) for k, c in (("end", ends), ("last", last), ("in", inside), ("name_end", name_end), ("name", name_any), ("unit", short)) for w, n in c.items()]
+            rows = [(k, w, n) for k, c in (("end", ends), ("last", last), ("in", inside), ("name_end", name_end), ("name", name_any), ("unit", short), ("begin", begin), ("tail", tail)) for w, n in c.items()]
             kinds, keys, counts = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], ["kind", "key", "n"]
@@ -347,13 +368,17 @@ def cut_values(results: DataFrame | None, bodies: DataFrame | None) -> DataFrame
     rows = rows.join(of("name_end", "name_ends"), F.col("last") == F.col("name_ends_key"), "left")
     rows = rows.join(of("name", "names"), F.col("last") == F.col("names_key"), "left")
     rows = rows.join(of("unit", "units"), F.col("unit") == F.col("units_key"), "left")
+    rows = rows.join(of("begin", "begins"), F.col("unit") == F.col("begins_key"), "left")
+    rows = rows.join(of("tail", "tails"), F.col("last") == F.col("tails_key"), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     plain = ~F.col("name") & (F.col("last") != "9") & (F.col("last") != "=")
+    whole = (F.col("unit") != "") & (zero("units") >= REPEATED) & (zero("units") >= WHOLE * (zero("units") + zero("begins")))
     why = (
         F.when(F.col("state") == "cut", "structure")
-        .when((F.col("last") == "=") | ((F.col("unit") != "") & (zero("units") >= REPEATED)), None)
-        .when(plain & (zero("lasts") + zero("inside") < KNOWN), "word")
+        .when(F.col("last") == "=", None)
+        .when(plain & (zero("lasts") + zero("inside") + zero("tails") < KNOWN), "word")
         .when(F.col("name") & (zero("name_ends") < NAME_END * F.greatest(zero("names"), F.lit(1))), "name")
+        .when(whole, None)
         .when(plain & (zero("lasts") < NEVER_ENDS * (zero("lasts") + zero("inside"))), "sentence")
         .when(~plain & (zero("ends") < ATTESTED), "sentence")
     )
