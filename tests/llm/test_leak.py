@@ -75,3 +75,10 @@ def test_parts():
     assert banded_alignment("abcdef", "abXdef", 1, 1)[0] == 1
     assert banded_alignment("abcdef", "abdef", 2, 1)[0] == 1
     assert banded_alignment("abcdef", "zzzzzz", 1, 2)[0] == 3
+
+
+def test_open_tag_stays_in_its_text(spark):
+    texts = ["it ends in an open <name", "> a quoted line", "another <b", ITEM]
+    assert len(reduce_words(texts).begin) == len(texts) + 1
+    docs = [(k, t, 0) for k, t in enumerate(texts)]
+    assert found(spark, docs, [(100, ITEM)]) == [(3, 100)]

@@ -25,7 +25,7 @@ from weftline.llm.hashing import Rolling, code_points
 
 #: Items are indexed in blocks of at most so many characters, one pass over the documents each.
 BLOCK_CHARS = 8_000_000
-_DROP = re.compile(r"</?[A-Za-z][^<>]{0,500}>|\[\s?\d{1,4}(?:\s?[,;–-]\s?\d{1,4})*\s?\]")
+_DROP = re.compile(r"</?[A-Za-z][^<>\x00]{0,500}>|\[\s?\d{1,4}(?:\s?[,;–-]\s?\d{1,4})*\s?\]")
 #: A word divided at a line end: what stands between its halves.
 _DIVIDED = re.compile(r"(?<=\w)(?:[-‐‑]|­)[ \t]*\r?\n[ \t>|]*(?=\w)|­")
 _SEP, _SEAM = "\x00", "\x01"
