@@ -1,0 +1,15 @@
+"""p2: refusal uses its calibrated threshold, as the other labels do."""
+
+import numpy as np
+
+from weftline.llm.answers import LABELS, flags, read
+
+
+def test_refusal_below_half():
+    score = np.zeros(len(LABELS), np.float32)
+    score[LABELS.index("refusal")] = 0.4
+    answer = read("I would rather not judge this.")
+    for least, want in ((0.3, True), (0.5, False)):
+        threshold = np.full(len(LABELS), 0.9, np.float32)
+        threshold[LABELS.index("refusal")] = least
+        assert flags(answer, "The mill of Garwen was opened in 1901.", score, threshold)[LABELS.index("refusal")] is want

@@ -340,7 +340,7 @@ def flags(answer: Answer, claim: str | None, score: np.ndarray, threshold: np.nd
     return [
         bool(proposed[0]) and answer.shape != "broken" and is_nothing(answer.prose),
         bool(proposed[1]),
-        bool(score[2] >= 0.5) and not copied,
+        bool(proposed[2]) and not copied,
         bool(proposed[3]) and copied,
         bool(proposed[4]) and ours != "" and theirs != "" and ours != theirs,
     ]
