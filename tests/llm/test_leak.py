@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+from weftline.llm import leak
 from weftline.llm.leak import banded_alignment, passages, reduce_words
 
 ITEM = "In Corixolt, the Lemeekkyn Brewery kept 38,987 musicians while Pellett Plesixolt widely measured the Boamquazz viaduct before the winter storms."
@@ -82,3 +83,23 @@ def test_open_tag_stays_in_its_text(spark):
     assert len(reduce_words(texts).begin) == len(texts) + 1
     docs = [(k, t, 0) for k, t in enumerate(texts)]
     assert found(spark, docs, [(100, ITEM)]) == [(3, 100)]
+
+
+def test_long_tags_and_shared_grams_in_parts(spark, monkeypatch):
+    words = ITEM.split()
+    tagged = " ".join(words[:8]) + ' <a title="' + "z " * 2000 + '">' + " ".join(words[8:]) + "</a>"
+    assert found(spark, [(1, tagged, 0)], [(1, ITEM)]) == [(1, 1)]
+    # Many items share all their grams with a text; counting in small parts finds the same.
+    index = leak.ItemIndex(list(range(30)), [ITEM + f" tail {k}" for k in range(30)], 13, 1, 16)
+    doc = reduce_words([ITEM, "nothing of it", ITEM + " " + ITEM])
+    whole = leak._verified(index, doc, True)
+    monkeypatch.setattr(leak, "PART_HITS", 50)
+    assert leak._verified(index, doc, True) == whole and {d for d, _ in whole} == {0, 2} and len(whole) == 60
+
+
+def test_alignment_decides_before_words(monkeypatch):
+    index = leak.ItemIndex([1], [ITEM], 13, 1, 16)
+    doc = reduce_words([ITEM])
+    assert leak._verified(index, doc, True)
+    monkeypatch.setattr(leak, "banded_alignment", lambda *a: (99, 0, 0))
+    assert not leak._verified(index, doc, True)

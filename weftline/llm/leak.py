@@ -5,8 +5,8 @@ numbers and line layout are dropped. A stretch of an item of w characters that s
 document with at most e edits shares at least w - q + 1 - e * q of its q-grams with it, all within
 e diagonals. So the q-grams that a document shares with an item are counted in overlapping bands of
 diagonals; bands below the bound are dropped, and what is left is verified by an alignment
-restricted to the band. ``passages`` reports the aligned region, its edits and the longest run
-of whole words that agree exactly.
+restricted to the band, and last by whole words where exact agreement is asked. ``passages``
+reports the edits of the best stretch and the longest run of whole words that agree exactly.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from weftline.llm.hashing import Rolling, code_points
 
 #: Items are indexed in blocks of at most so many characters, one pass over the documents each.
 BLOCK_CHARS = 8_000_000
-_DROP = re.compile(r"</?[A-Za-z][^<>\x00]{0,500}>|\[\s?\d{1,4}(?:\s?[,;–-]\s?\d{1,4})*\s?\]")
+#: Shared q-grams that are counted at a time; counts of one part are added to those of the next.
+PART_HITS = 4_000_000
+_DROP = re.compile(r"</?[A-Za-z][^<>\x00]*>|\[\s?\d{1,4}(?:\s?[,;–-]\s?\d{1,4})*\s?\]")
 #: A word divided at a line end: what stands between its halves.
 _DIVIDED = re.compile(r"(?<=\w)(?:[-‐‑]|­)[ \t]*\r?\n[ \t>|]*(?=\w)|­")
 _SEP, _SEAM = "\x00", "\x01"
@@ -74,6 +76,8 @@ def reduce_words(texts: list[str]) -> Words:
     count = np.concatenate([[0], np.cumsum(keep)])
     ends = np.flatnonzero(raw == 0)
     begin = np.concatenate([[0], count[ends], [count[-1]]]).astype(np.int64)
+    if len(begin) != max(1, len(texts)) + 1:
+        raise AssertionError("a text lost its separator")
     return Words(raw[keep], first[keep], begin)
 
 
@@ -121,29 +125,54 @@ class ItemIndex:
         if not len(hit):
             return []
         size = hi - lo
-        at = np.repeat(np.arange(len(hit)), size)
-        entry = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        item, d, spot = self.item[entry], owner[at], hit[at] - doc.begin[owner[at]]
-        diagonal = spot - self.place[entry]
-        # Bands of 2 * (edits + 1) diagonals every edits + 1: any edits + 1 neighbours lie in one band.
-        half = self.edits + 1
-        shift = np.int64(1 << 36)
+        total = np.cumsum(size)
+        parts: tuple[list, list] = ([], [])
+        at_hit = 0
+        while at_hit < len(hit):
+            done = total[at_hit - 1] if at_hit else 0
+            upto = max(at_hit + 1, int(np.searchsorted(total, done + PART_HITS, "right")))
+            some = slice(at_hit, upto)
+            at = np.repeat(np.arange(at_hit, upto), size[some])
+            entry = np.arange(len(at)) - np.repeat(total[some] - size[some] - done, size[some]) + np.repeat(lo[some], size[some])
+            item, d, spot = self.item[entry], owner[at], hit[at] - doc.begin[owner[at]]
+            diagonal = spot - self.place[entry]
+            # Bands of 2 * (edits + 1) diagonals every edits + 1: any edits + 1 neighbours lie in one band.
+            half = self.edits + 1
+            for k, off in enumerate((0, half)):
+                band = (diagonal + np.int64(1 << 36) + off) // (2 * half)
+                parts[k].append(_per_band(d, item, band, np.ones(len(d), np.int64), spot, spot, diagonal))
+            at_hit = upto
         found = []
-        for off in (0, half):
-            band = (diagonal + shift + off) // (2 * half)
-            key = np.stack([d, item, band])
-            order = np.lexsort(key[::-1])
-            d_, i_, b_, s_, g_ = d[order], item[order], band[order], spot[order], diagonal[order]
-            new = np.concatenate([[True], (d_[1:] != d_[:-1]) | (i_[1:] != i_[:-1]) | (b_[1:] != b_[:-1])])
-            first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(d_)))
-            good = np.flatnonzero(count >= self.bound[i_[first]])
-            low, high = np.minimum.reduceat(s_, first), np.maximum.reduceat(s_, first)
-            diag = np.minimum.reduceat(g_, first)
-            found += [(int(d_[first[g]]), int(i_[first[g]]), int(diag[g]), int(low[g]), int(high[g]) + q) for g in good]
+        for part in parts:
+            d, item, _, count, low, high, diag = _per_band(*(np.concatenate(c) for c in zip(*part))) if len(part) > 1 else part[0]
+            good = count >= self.bound[item]
+            found += [(int(a), int(i), int(g), int(s), int(e) + q) for a, i, g, s, e in zip(d[good], item[good], diag[good], low[good], high[good])]
         return found
 
 
+def _per_band(d, item, band, count, low, high, diagonal) -> tuple[np.ndarray, ...]:
+    """Rows of one document, item and band added up: (document, item, band, count, low, high, least diagonal)."""
+    order = np.lexsort((band, item, d))
+    d, item, band = d[order], item[order], band[order]
+    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])]))
+    low, high, diagonal = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.minimum.reduceat(diagonal[order], first)
+    return d[first], item[first], band[first], np.add.reduceat(count[order], first), low, high, diagonal
+
+
+def _agree(a: str, i: int, b: str, j: int) -> int:
+    """How many characters of ``a`` from ``i`` and of ``b`` from ``j`` agree; compared in stretches that double."""
+    most, n, step = min(len(a) - i, len(b) - j), 0, 16
+    while n < most:
+        if a[i + n : i + min(n + step, most)] == b[j + n : j + min(n + step, most)]:
+            n = min(n + step, most)
+            step *= 2
+        elif step == 1:
+            break
+        else:
+            step //= 2
+    return n
+
+
 def banded_alignment(item: str, text: str, band: int, limit: int) -> tuple[int, int, int]:
     """Fewest edits between ``item`` and the best stretch of ``text``, within ``band`` diagonals.
 
@@ -157,13 +186,10 @@ def banded_alignment(item: str, text: str, band: int, limit: int) -> tuple[int,
             best[d] = (0, d)
     for edits in range(limit + 1):
         for d, (row, start) in list(best.items()):
-            col = row + d
-            while row < n and col < m and item[row] == text[col]:
-                row += 1
-                col += 1
+            row += _agree(item, row, text, row + d)
             best[d] = (row, start)
             if row == n:
-                return edits, start, col
+                return edits, start, row + d
         following: dict[int, tuple[int, int]] = {}
         for d, (row, start) in best.items():
             for nd, nrow in ((d, row + 1), (d + 1, row), (d - 1, row + 1)):
@@ -213,28 +239,44 @@ def _fits(first, starts, w, size, p, low, a, doc, d) -> bool:
     return after >= total or doc.first[a + after] != 0
 
 
+def _aligned(index: ItemIndex, i: int, doc: Words, d: int, diagonal: int, low: int, high: int) -> int:
+    """Fewest edits between ``words`` whole words of item ``i`` and document ``d``, within the band; more than allowed if none fits.
+
+    Every stretch of the item that lies opposite the shared q-grams is tried, up to the first without an edit.
+    """
+    a, b = int(doc.begin[d]), int(doc.begin[d + 1])
+    item, starts, need, most = index.strings[i], index.starts[i], index.words, index.edits
+    best = most + 1
+    # Stretches that begin up to one stretch before the first shared gram and no later than the last one.
+    from_ = int(np.searchsorted(starts, low - diagonal - 2 * (most + 1) - int((starts[need:] - starts[:-need]).max()), "left"))
+    for w in range(max(0, from_), len(starts) - need):
+        if starts[w] + diagonal > high:
+            break
+        piece = item[starts[w] : starts[w + need]]
+        begin = max(a, a + int(starts[w]) + diagonal - most)
+        text = doc.points[begin : max(begin, min(b, begin + len(piece) + 4 * (most + 1)))].tobytes().decode("utf-32-le")
+        edits, _, _ = banded_alignment(piece, text, 2 * (most + 1), min(most, best))
+        best = min(best, edits)
+        if best == 0:
+            break
+    return best
+
+
 def _verified(index: ItemIndex, doc: Words, exact: bool) -> dict[tuple[int, int], tuple[int, int]]:
-    """Pairs (document, item) that verification leaves: longest run of whole words, edits of the best stretch."""
+    """Pairs (document, item) that verification leaves: longest run of whole words, edits of the best stretch.
+
+    Each band is aligned first; only where the alignment stays within the edits are whole words compared.
+    """
     kept: dict[tuple[int, int], tuple[int, int]] = {}
     for d, i, diagonal, low, high in index.candidates(doc):
         if kept.get((d, i), (0, 0))[0] >= index.words:
             continue
-        a, b = int(doc.begin[d]), int(doc.begin[d + 1])
-        item, starts, need = index.strings[i], index.starts[i], index.words
+        edits = _aligned(index, i, doc, d, diagonal, low, high)
+        if edits > (0 if exact else index.edits):
+            continue
         run = _exact_words(index, i, doc, d, low, high)
-        edits = 0
-        if run < need:
-            if exact:
-                continue
-            # The stretch of the item opposite the shared grams, as whole words, against its band.
-            w = max(0, int(np.searchsorted(starts, low - diagonal - index.edits, "left")))
-            w = min(w, len(starts) - 1 - need)
-            piece = item[starts[w] : starts[w + need]]
-            from_ = max(0, int(starts[w]) + diagonal - index.edits)
-            text = doc.points[a + from_ : min(b, a + from_ + len(piece) + 4 * index.edits + 2)].tobytes().decode("utf-32-le")
-            edits, _, _ = banded_alignment(piece, text, 2 * index.edits + 1, index.edits)
-            if edits > index.edits:
-                continue
+        if exact and run < index.words:
+            continue
         best = kept.get((d, i))
         if best is None or (run, -edits) > (best[0], -best[1]):
             kept[(d, i)] = (run, edits)
