@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this subpackage that hold QUERIES and SQL.
-MODULES = ("queries_text", "queries_pages", "queries_results")
+MODULES = ("queries_records", "queries_text", "queries_pages", "queries_results")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
