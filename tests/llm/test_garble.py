@@ -63,3 +63,30 @@ def test_rewrite():
     assert rewrite_word("FrÃ¼hjahr", "cp1252", "utf-8") == "Frühjahr"
     assert rewrite_word("abc", "cp1252", "utf-8") is None
     assert Finder(Mapping([], [], [], {})).restore("Ã¼") == (False, False, "Ã¼")
+
+
+def test_garbled_many_times():
+    finder = Finder(Mapping(["cp1252", "latin-1"], [], list("üßéÄ"), {}))
+    text = original = "Früh am Fuß"
+    for _ in range(5):
+        text = "".join(chr(b) for b in text.encode())
+    assert finder.restore(text)[::2] == (True, original)
+
+
+def test_trie_takes_the_longest():
+    from weftline.llm.garble import _trie
+
+    pattern = _trie(["ab", "abc", "b", "xyz", "."])
+    assert pattern.findall("abcab.bxyxyz") == ["abc", "ab", ".", "b", "xyz"]
+
+
+def test_long_runs_are_learned(spark):
+    sentence = "这座桥在很久以前就已经建成，可是后来被河水冲走了。人们又把它重新建了起来，现在仍然使用着它，每天都有很多人从上面走过去。"
+    joined = "Die größere Zählung über Fähre und Straße für Behörde"
+    rows = [(k, t.encode(), "utf-8") for k, t in enumerate([sentence] * 8 + [joined] * 8)]
+    rows += [(100 + k, t.encode().decode("latin-1").encode(), "utf-8") for k, t in enumerate([sentence, joined, sentence])]
+    df = spark.createDataFrame(rows, "fetch_id long, body binary, c string")
+    mapping = learn(df, "fetch_id", "body", F.col("c"))
+    assert "latin-1" in mapping.utf8 and set(sentence) - set("，。") <= set(mapping.known) and "ö" in mapping.known
+    got = {r["fetch_id"]: r["restored"] for r in garbled(df, "fetch_id", "body", F.col("c"), mapping).collect()}
+    assert got == {100: sentence, 101: joined, 102: sentence}

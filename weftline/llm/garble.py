@@ -41,6 +41,9 @@ LETTERS_BELOW = 0x530
 
 _WORD = re.compile(r"[0-9A-Za-z]*[^\x00-\x7f][0-9A-Za-z\x80-\U0010ffff]*")
 _RUN = re.compile(r"[^\x00-\x7f]+")
+#: Runs longer than this are no words of a script with spaces; they are divided at blanks and punctuation beyond ASCII.
+WORD_CHARS = 40
+_INNER = re.compile("[\u00a0\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 _LOST = re.compile("�|[\x80-\x84\x86-\x9f]")
 
 
@@ -106,6 +109,14 @@ def shown(body: bytes, charset: str | None) -> str:
     return html.unescape(declared_text(body, charset))
 
 
+def _words_of(text: str) -> Iterator[str]:
+    """Words with a non-ASCII character; long runs, as of scripts without spaces, whole and in their parts."""
+    for word in _WORD.findall(text):
+        yield word
+        if len(word) > WORD_CHARS:
+            yield from (w for part in _INNER.split(word) for w in _WORD.findall(part))
+
+
 def _words(rows: DataFrame) -> DataFrame:
     """(word, texts): every word with a non-ASCII character and the number of texts it is in."""
 
@@ -115,7 +126,7 @@ def _words(rows: DataFrame) -> DataFrame:
             for b, c in zip(batch.column(1), batch.column(2)):
                 text = shown(b.as_py(), c.as_py())
                 if not text.isascii():
-                    out.extend({w for w in _WORD.findall(text) if len(w) <= 40})
+                    out.extend(set(_words_of(text)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["word"])
 
     return rows.mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("texts"))
@@ -133,17 +144,22 @@ def _rewritten(words: DataFrame) -> DataFrame:
                     continue
                 for n, (a, b) in enumerate(ways):
                     new = rewrite_word(word, a, b)
-                    if new is not None and not _LOST.search(new):
+                    if new is None or _LOST.search(new):
+                        continue
+                    for part in {new} if len(new) <= WORD_CHARS else set(_words_of(new)):
                         index.append(i)
                         way.append(n)
-                        clean.append(new)
+                        clean.append(part)
             take = pa.array(index, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(way, pa.int32()), pa.array(clean, pa.string())],
                 ["word", "texts", "way", "clean"],
             )
 
-    return words.mapInArrow(run, "word string, texts bigint, way int, clean string")
+    # A small checkpoint may be one partition, but each row costs some fifty conversions.
+    n, cores = words.count(), words.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(2 * cores, n // 500 + 1), n // 200_000 + 1)
+    return words.repartition(parts, "word").mapInArrow(run, "word string, texts bigint, way int, clean string")
 
 
 def learn(df: DataFrame, key: str, body: str, charset: Column) -> Mapping:
@@ -180,21 +196,39 @@ def learn(df: DataFrame, key: str, body: str, charset: Column) -> Mapping:
     return Mapping(sorted(utf8), sorted(single), known, pairs)
 
 
+def _trie(sequences: list[str]) -> re.Pattern:
+    """Pattern of the longest of the sequences at a place; branches by character, so it does not grow slower with their number."""
+    root: dict = {}
+    for s in sequences:
+        node = root
+        for c in s:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def write(node: dict) -> str:
+        ends = [c for c, below in node.items() if c and below.keys() == {""}]
+        out = ["[" + "".join(map(re.escape, ends)) + "]"] if ends else []
+        out += [re.escape(c) + write(below) for c, below in node.items() if c and below.keys() != {""}]
+        return "(?:" + "|".join(out) + ")" + ("?" if "" in node else "")
+
+    return re.compile(write(root))
+
+
 class Finder:
     """Applies a mapping to texts."""
 
     def __init__(self, mapping: Mapping) -> None:
         self.single = mapping.single
         self.clean_of: dict[str, str] = {}
-        known = set(mapping.known)
-        for _ in range(2):  # the characters of garbled sequences are garbled again in turn
+        known, seen = set(mapping.known), set()
+        while known:  # the characters of garbled sequences are garbled again in turn; code pages are finite
+            seen |= known
             for charset in mapping.utf8:
                 back = _tables(charset)[1]
                 for c in sorted(known):
                     self.clean_of.setdefault("".join(back[b] for b in c.encode("utf-8")), c)
-            known = {c for g in self.clean_of for c in g if ord(c) > 127}
-        sequences = sorted(self.clean_of, key=len, reverse=True)
-        self.sequence = re.compile("|".join(map(re.escape, sequences))) if sequences else None
+            known = {c for g in self.clean_of for c in g if ord(c) > 127} - seen
+        self.sequence = _trie(sorted(self.clean_of)) if self.clean_of else None
         total: dict[str, int] = {}
         for p, n in mapping.pairs.items():
             total[p[0]] = total.get(p[0], 0) + n
@@ -229,8 +263,8 @@ class Finder:
             return False, False, text
         lost = _LOST.search(text) is not None
         new, changed = text, False
-        for _ in range(4):  # garbled more than once
-            again = self.sequence.sub(lambda m: self.clean_of[m.group()], new) if self.sequence is not None else new
+        while self.sequence is not None:  # as often as it was garbled; every turn makes the text shorter
+            again = self.sequence.sub(lambda m: self.clean_of[m.group()], new)
             if again == new:
                 break
             new, changed = again, True
