@@ -124,3 +124,17 @@ def test_untrained_classifier_proposes_nothing_wrong():
     model = fit([])
     a = read(output("It is well known that the mill was opened."))
     assert not any(flags(a, "The tower of X was closed in 1900.", _score(model.weights, model.bias, features(a, "The tower")), model.threshold)[2:]) or len(LABELS) == 5
+
+
+def test_whole_values_are_read():
+    assert body_ending(" " * 5000 + "<p>It was said.</p><a hr", "text/html")[0].state == "cut"
+    assert body_ending("<p>x</p><script>" + "var a = 1;\n" * 9000, "text/html")[0].state == "cut"
+    assert body_ending("<p>x</p><a title='" + "y " * 9000, "text/html")[0].state == "cut"
+    assert body_ending("<p>It ended &amp", "text/html")[0].state == "cut" and body_ending("<p>It ended &Counter", "text/html")[0].state == "cut"
+    assert body_ending("<p>A rule of R & D it was.", "text/html")[0].state == "closed"
+    before = "<p>He spoke of " + "<b> </b>" * 200 + "mills"
+    assert body_ending(before, "text/html")[0].key == "of mills"
+    assert ending("the word " + "a" * 500 + " " + "b" * 300).key == "a" * 500 + " " + "b" * 300
+    assert ending(b"K\xc3\xa4se und K\xc3".decode("utf-8", "replace")).state == "cut"
+    assert ending("lost � here and �").state == "closed"
+    assert ending("ذهب الرجل إلى المدينة ثم عاد").state == "open" and ending("TABLE OF UNITS").state == "closed"

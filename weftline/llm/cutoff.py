@@ -15,14 +15,16 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html.entities import html5
 from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.http import declared_text
+from weftline.llm.blocks import INLINE
 from weftline.session import cut_lineage
 
 #: Encodings under which lengths are taken.
@@ -37,17 +39,26 @@ ATTESTED, KNOWN, NEVER_ENDS = 2, 4, 0.004
 REPEATED, WHOLE = 3, 0.1
 #: Share of names ending with the same three letters below which a name is taken as broken off.
 NAME_END = 0.12
+#: What counts as a short unit: a line or block of so many characters and words at most. Others are judged by their last words.
+SHORT_CHARS, SHORT_WORDS = 60, 6
+#: Combinations of last words that more than this share of the open values have are joined by broadcast: at most 1 / HOT_SHARE are.
+HOT_SHARE = 1 / 500
 
 #: Marks that end a sentence, closing marks after them, and marks of a cut.
 _STOP = ".!?。！？"
 _CLOSERS = "\"'”’»)]}`*"
 _MARK = re.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\]|\[truncated\]|\(truncated\))\s*$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d[\d.,]*")
-_CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+#: Scripts that set no spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, Chinese characters.
+_CJK = re.compile(r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _UNIT = re.compile(r"(?<=[.!?。！？])[\"'”’»)\]]*\s+|(?<=[。！？])|\n+")
-_TAIL_TAG = re.compile(r"<[A-Za-z/!][^<>]*\Z|<\Z")
-_TAIL_REF = re.compile(r"&(?:#?[A-Za-z0-9]{0,10})\Z")
-_HIDDEN = re.compile(r"<(script|style|noscript|title)\b[^>]*>", re.I)
+_MARKUP = re.compile(r"<[A-Za-z!/?]")
+_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)[^<>]*>")
+#: Beginnings of named character references.
+_REFERENCES = frozenset(name[:n] for name in html5 for n in range(1, len(name.rstrip(";")) + 1))
+_NUMBER = re.compile(r"#(?:[0-9]*|[xX][0-9A-Fa-f]*)\Z")
+#: Elements whose content is not visible.
+_HIDDEN = ("script", "style", "noscript", "title")
 _TAG = re.compile(r"<[^>]*>")
 _REASON = re.compile(r"\"(?:rationale|explanation|reason|reasoning|justification)\"\s*:\s*\"((?:[^\"\\]|\\.)*)\"", re.S)
 
@@ -87,16 +98,26 @@ def _mask(word: str) -> str:
 
 
 def _unit(line: str) -> str:
-    words = _WORD.findall(line[:100])
-    return " ".join(map(_mask, words)) if len(line) <= 60 and len(words) <= 6 else ""
+    words = _WORD.findall(line) if len(line) <= SHORT_CHARS else []
+    return " ".join(map(_mask, words)) if len(words) <= SHORT_WORDS else ""
+
+
+def _last_words(line: str) -> list[str]:
+    """At least the last two words of a line, or all of them; reads back as far as they reach."""
+    n = 120
+    while True:
+        words = _WORD.findall(line[-n:])
+        if len(words) > 2 or n >= len(line):
+            return words
+        n *= 4
 
 
 def _beginnings(unit: str, whole: bool) -> list[str]:
     """Shapes with which a unit begins and goes on, short enough for ``_unit``; ``whole`` if it ends with its last word."""
     shape, out = "", []
-    found = list(islice(_WORD.finditer(unit[:100]), 7))
-    for n, m in enumerate(found[:6], 1):
-        if m.end() > 60 or whole and n == len(found):
+    found = list(islice(_WORD.finditer(unit), SHORT_WORDS + 1))
+    for n, m in enumerate(found[:SHORT_WORDS], 1):
+        if m.end() > SHORT_CHARS or whole and n == len(found):
             break
         shape = f"{shape} {_mask(m.group())}" if shape else _mask(m.group())
         out.append(shape)
@@ -113,6 +134,8 @@ def ending(text: str) -> Ending:
             return Ending("closed")
         return Ending("closed" if text[-1] in _STOP else "cut")
     bare = text.rstrip(_CLOSERS)
+    if text.endswith("\ufffd") and "\ufffd" not in text.rstrip("\ufffd"):
+        return Ending("cut")  # nothing else is unreadable: the bytes stop inside a character
     if not bare or bare[-1] in _STOP:
         return Ending("closed")
     if text != bare and bare[-1].isalnum() and text[-1] in ")]}\"”»*":
@@ -120,13 +143,13 @@ def ending(text: str) -> Ending:
     if bare[-1] in ",;:(–" or (bare[-1] == "-" and len(bare) > 1 and bare[-2].isalpha()):
         return Ending("cut")
     line = bare[bare.rfind("\n") + 1 :]
-    if not bare[-1].isalnum() or "�" in bare[-2:] or not any(c.islower() or _CJK.match(c) for c in line):
+    if not bare[-1].isalnum() or "\ufffd" in bare[-2:] or not any(c.isalpha() and not c.isupper() for c in line):
         return Ending("closed")
     if "\t" in line or "|" in line:
         return Ending("open", "=", "=")  # a row of a table; only a limit tells
     if _CJK.match(bare[-1]):
         return Ending("open", bare[-2:], bare[-2:])
-    words = _WORD.findall(line[-120:])
+    words = _last_words(line)
     if not words or not line.endswith(words[-1]):
         return Ending("open", "=", "=")
     if len(words) == 1 and line == bare:
@@ -192,23 +215,37 @@ def body_ending(text: str, media: str) -> tuple[Ending, str]:
     """Ending of a body and the text that it was taken from."""
     if media == "application/json":
         return Ending("cut" if text.lstrip()[:1] in ("{", "[") and _open_json(text.lstrip()) else "closed"), text
-    if media != "text/html" or "<" not in text[:2000]:
+    if media != "text/html" or not _MARKUP.search(text):
         return ending(text), text
     tail = text.rstrip()
     if tail.endswith(">"):
         return Ending("closed"), ""
-    if _TAIL_TAG.search(tail[-4000:]) or _TAIL_REF.search(tail[-12:]):
+    if _cut_markup(tail):
         return Ending("cut"), text
-    for m in reversed(list(_HIDDEN.finditer(tail[-20000:]))):
-        if f"</{m.group(1).lower()}" not in tail[-20000:][m.end() :].lower():
-            return Ending("cut"), text
-        break
-    last = html.unescape(tail[tail.rfind(">") + 1 :])
-    found = ending(last)
-    if found.state == "open" and found.key.startswith("^"):
-        # The words before may stand on the other side of an inline tag.
-        found = ending(html.unescape(_TAG.sub(" ", tail[-300:])))
-    return found, text
+    return ending(html.unescape(_TAG.sub("", _last_block(tail)))), text
+
+
+def _last_block(tail: str) -> str:
+    """What stands behind the last tag that is not inline."""
+    at = tail.rfind("<")
+    while at >= 0:
+        m = _NAME.match(tail, at)
+        if m is not None and m[1].lower() not in INLINE:
+            return tail[tail.find(">", at) + 1 :]
+        at = tail.rfind("<", 0, at)
+    return tail
+
+
+def _cut_markup(tail: str) -> bool:
+    """Whether a page ends inside a tag, a character reference or an element that is not visible."""
+    at = tail.rfind("<")
+    if at > tail.rfind(">") and (at == len(tail) - 1 or _MARKUP.match(tail, at)):
+        return True
+    at = tail.rfind("&")
+    if at >= 0 and len(tail) - at <= 40 and (tail[at + 1 :] in _REFERENCES or at == len(tail) - 1 or _NUMBER.match(tail, at + 1)):
+        return True
+    low = tail.lower()
+    return any(low.rfind(f"<{name}") > low.rfind(f"</{name}") for name in _HIDDEN if f"<{name}" in low)
 
 
 def _texts(results: DataFrame | None, bodies: DataFrame | None) -> DataFrame:
@@ -289,7 +326,7 @@ def _statistics(texts: DataFrame) -> DataFrame:
                         last[_mask(words[-1])] += 1
                     elif (whole := _unit(unit.strip())) != "":
                         short[whole] += 1
-                    inside.update(w for w in words[:-1] if w[0].islower())
+                    inside.update(w for w in words[:-1] if w[0].isalpha() and not w[0].isupper())
                     for w in words:
                         if w[0].isupper() and len(w) > 3:
                             low = w.lower()
@@ -349,6 +386,56 @@ def hidden_limits(open_values: DataFrame) -> DataFrame:
     return both.where(f"{enough} and n >= {LIMIT_TIMES} * ((around - n) / {2 * NEARBY} + 0.5)").select("field", "encoding", "size", "n")
 
 
+def _judged(values: DataFrame, stats: DataFrame) -> DataFrame:
+    """(field, id, source, sizes, why): what the statistics say of every open value; null if nothing.
+
+    Equal endings are judged once: values are counted by ending first, the statistics are joined with
+    the different endings only, and lookups that cannot tell are left out. Endings that many values
+    have go back to them by broadcast (at most 1 / ``HOT_SHARE`` of them), all others by a join.
+    """
+    ending_of = ["key", "last", "name", "unit"]
+    undecided = values.where((F.col("state") == "open") & (F.col("last") != "="))
+    counted = cut_lineage(undecided.groupBy(*ending_of).agg(F.count("*").alias("values")))
+    of = lambda kind, name: stats.where(F.col("kind") == kind).select(F.col("key").alias(f"{name}_key"), F.col("n").alias(name))
+
+    # Where a lookup cannot tell, its key is one that no statistic has and that differs from row to row, so nothing gathers.
+    none = F.concat(F.lit("\x00"), F.xxhash64(*ending_of).cast("string"))
+
+    def looked_up(rows: DataFrame, kind: str, name: str, by: str, where: Column) -> DataFrame:
+        asked = rows.withColumn("asked", F.when(where, F.col(by)).otherwise(none))
+        return asked.join(of(kind, name), F.col("asked") == F.col(f"{name}_key"), "left").drop(f"{name}_key", "asked")
+
+    plain = ~F.col("name") & (F.col("last") != "9")
+    short = F.col("unit") != ""
+    rows = looked_up(counted, "end", "ends", "key", ~plain)
+    for kind, name in (("last", "lasts"), ("in", "inside"), ("tail", "tails")):
+        rows = looked_up(rows, kind, name, "last", plain)
+    for kind, name in (("name_end", "name_ends"), ("name", "names")):
+        rows = looked_up(rows, kind, name, "last", F.col("name"))
+    for kind, name in (("unit", "units"), ("begin", "begins")):
+        rows = looked_up(rows, kind, name, "unit", short)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    whole = short & (zero("units") >= REPEATED) & (zero("units") >= WHOLE * (zero("units") + zero("begins")))
+    why = (
+        F.when(plain & (zero("lasts") + zero("inside") + zero("tails") < KNOWN), "word")
+        .when(F.col("name") & (zero("name_ends") < NAME_END * F.greatest(zero("names"), F.lit(1))), "name")
+        .when(whole, None)
+        .when(plain & (zero("lasts") < NEVER_ENDS * (zero("lasts") + zero("inside"))), "sentence")
+        .when(~plain & (zero("ends") < ATTESTED), "sentence")
+    )
+    verdicts = cut_lineage(rows.select(*ending_of, "values", why.alias("why")))
+    most = (verdicts.agg(F.sum("values")).first()[0] or 0) * HOT_SHARE
+    frequent = verdicts.where(F.col("values") > most)
+    named = [F.col(c).alias(f"{c}_of") for c in ending_of]
+    same = [F.col(c) == F.col(f"{c}_of") for c in ending_of]
+    often = undecided.join(F.broadcast(frequent.select(*named, "why")), same)
+    seldom = undecided.join(F.broadcast(frequent.select(*named)), same, "left_anti").join(verdicts.where(F.col("values") <= most).select(*named, "why"), same)
+    columns = ["field", "id", "source", "sizes", "why"]
+    rest = values.where((F.col("state") != "open") | (F.col("last") == "="))
+    rest = rest.withColumn("why", F.when(F.col("state") == "cut", "structure"))
+    return rest.select(*columns).unionByName(often.select(*columns)).unionByName(seldom.select(*columns))
+
+
 def cut_values(results: DataFrame | None, bodies: DataFrame | None) -> DataFrame:
     """(field, id, source, why): every value that was cut; why is ``structure``, ``limit``, ``word``, ``name`` or ``sentence``.
 
@@ -356,33 +443,13 @@ def cut_values(results: DataFrame | None, bodies: DataFrame | None) -> DataFrame
     charset and media. Null and empty values are never cut. Repeated rows give one result.
 
     Shuffles: counts of endings and words (aggregated in each batch first), lengths, and the open
-    values by their last words; texts are not shuffled.
+    values by their endings (frequent endings are broadcast); texts are not shuffled.
     """
     texts = _texts(results, bodies)
     values = cut_lineage(_open_values(texts).dropDuplicates(["field", "id"]))
     stats = cut_lineage(_statistics(texts))
-    of = lambda kind, name: stats.where(F.col("kind") == kind).select(F.col("key").alias(f"{name}_key"), F.col("n").alias(name))
-    rows = values.join(of("end", "ends"), F.col("key") == F.col("ends_key"), "left")
-    rows = rows.join(of("last", "lasts"), F.col("last") == F.col("lasts_key"), "left")
-    rows = rows.join(of("in", "inside"), F.col("last") == F.col("inside_key"), "left")
-    rows = rows.join(of("name_end", "name_ends"), F.col("last") == F.col("name_ends_key"), "left")
-    rows = rows.join(of("name", "names"), F.col("last") == F.col("names_key"), "left")
-    rows = rows.join(of("unit", "units"), F.col("unit") == F.col("units_key"), "left")
-    rows = rows.join(of("begin", "begins"), F.col("unit") == F.col("begins_key"), "left")
-    rows = rows.join(of("tail", "tails"), F.col("last") == F.col("tails_key"), "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    plain = ~F.col("name") & (F.col("last") != "9") & (F.col("last") != "=")
-    whole = (F.col("unit") != "") & (zero("units") >= REPEATED) & (zero("units") >= WHOLE * (zero("units") + zero("begins")))
-    why = (
-        F.when(F.col("state") == "cut", "structure")
-        .when(F.col("last") == "=", None)
-        .when(plain & (zero("lasts") + zero("inside") + zero("tails") < KNOWN), "word")
-        .when(F.col("name") & (zero("name_ends") < NAME_END * F.greatest(zero("names"), F.lit(1))), "name")
-        .when(whole, None)
-        .when(plain & (zero("lasts") < NEVER_ENDS * (zero("lasts") + zero("inside"))), "sentence")
-        .when(~plain & (zero("ends") < ATTESTED), "sentence")
-    )
-    judged = cut_lineage(rows.select("field", "id", "source", "sizes", why.alias("why"), F.coalesce(why != "", F.lit(False)).alias("unfinished")))
+    judged = _judged(values, stats)
+    judged = cut_lineage(judged.withColumn("unfinished", F.col("why").isNotNull()))
     at_limit = (
         judged.select("field", "id", F.posexplode("sizes").alias("encoding", "size"))
         .join(hidden_limits(judged), ["field", "encoding", "size"], "left_semi")
