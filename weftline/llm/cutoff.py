@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.http import declared_text
 from weftline.llm.blocks import INLINE
+from weftline.llm.skew import join_counted
 from weftline.session import cut_lineage
 
 #: Encodings under which lengths are taken.
@@ -41,8 +42,6 @@ REPEATED, WHOLE = 3, 0.1
 NAME_END = 0.12
 #: What counts as a short unit: a line or block of so many characters and words at most. Others are judged by their last words.
 SHORT_CHARS, SHORT_WORDS = 60, 6
-#: Combinations of last words that more than this share of the open values have are joined by broadcast: at most 1 / HOT_SHARE are.
-HOT_SHARE = 1 / 500
 
 #: Marks that end a sentence, closing marks after them, and marks of a cut.
 _STOP = ".!?。！？"
@@ -391,7 +390,7 @@ def _judged(values: DataFrame, stats: DataFrame) -> DataFrame:
 
     Equal endings are judged once: values are counted by ending first, the statistics are joined with
     the different endings only, and lookups that cannot tell are left out. Endings that many values
-    have go back to them by broadcast (at most 1 / ``HOT_SHARE`` of them), all others by a join.
+    have go back to them by broadcast, all others by a join.
     """
     ending_of = ["key", "last", "name", "unit"]
     undecided = values.where((F.col("state") == "open") & (F.col("last") != "="))
@@ -424,16 +423,11 @@ def _judged(values: DataFrame, stats: DataFrame) -> DataFrame:
         .when(~plain & (zero("ends") < ATTESTED), "sentence")
     )
     verdicts = cut_lineage(rows.select(*ending_of, "values", why.alias("why")))
-    most = (verdicts.agg(F.sum("values")).first()[0] or 0) * HOT_SHARE
-    frequent = verdicts.where(F.col("values") > most)
-    named = [F.col(c).alias(f"{c}_of") for c in ending_of]
-    same = [F.col(c) == F.col(f"{c}_of") for c in ending_of]
-    often = undecided.join(F.broadcast(frequent.select(*named, "why")), same)
-    seldom = undecided.join(F.broadcast(frequent.select(*named)), same, "left_anti").join(verdicts.where(F.col("values") <= most).select(*named, "why"), same)
+    told = join_counted(undecided, verdicts, ending_of, "values")
     columns = ["field", "id", "source", "sizes", "why"]
     rest = values.where((F.col("state") != "open") | (F.col("last") == "="))
     rest = rest.withColumn("why", F.when(F.col("state") == "cut", "structure"))
-    return rest.select(*columns).unionByName(often.select(*columns)).unionByName(seldom.select(*columns))
+    return rest.select(*columns).unionByName(told.select(*columns))
 
 
 def cut_values(results: DataFrame | None, bodies: DataFrame | None) -> DataFrame:

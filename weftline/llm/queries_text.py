@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.encoding import encode_texts
 from weftline.llm.leak import passages
-from weftline.llm.spans import Shared, removed_spans, shared_share, shared_spans
+from weftline.llm.spans import Shared, found_pairs, link_counts, removed_spans, shared_share, shared_spans
 
 #: Folder of the public vocabularies; a parameter, they are not part of the repository.
 TOKENIZERS = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
@@ -50,7 +50,12 @@ def _shared(spark: SparkSession, sf_dir: str) -> Shared:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id_a, doc_id_b): documents with a run of 400 characters in common."""
-    return _shared(spark, sf_dir).pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    return found_pairs(_shared(spark, sf_dir), "doc_id").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p10_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, links): each sharing document, the document that stands for its text, and the links of that text."""
+    return link_counts(_shared(spark, sf_dir), "doc_id")
 
 
 def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +73,7 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_items": p9_items,
     "p10_found": p10_found,
+    "p10_links": p10_links,
     "p10_share": p10_share,
     "p10_removed": p10_removed,
 }

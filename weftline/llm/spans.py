@@ -1,28 +1,36 @@
-"""Long exact spans shared between texts.
-
-Units are passages of half the least length that begin at a line or sentence boundary; where a
-stretch of text has no boundary, the passage begins at a place chosen by its content. In every
-window of the other half one unit is chosen by smallest digest, boundaries first, so two texts
-with a common run of the least length always share a unit (winnowing). Digests are grouped over
-the whole corpus. Around each shared unit the digests of wider windows tell which texts have a
-chance; those are compared character by character. Groups too large for pairing are first split
-by the digests of all windows of the full length, which decide exactly.
-
-Within each run the occurrence in the text with the smallest key is kept, the others are removed,
+"""Long exact spans shared between records.
+
+First pass: lines and paragraphs, and the whole record as one unit, are digested and the digests
+grouped over the whole corpus. Units of at least the least length that stand in several records are
+classes; records that are the same as a whole are one text from here on.
+
+Second pass, for runs that hold no whole unit: passages of half the least length that begin at a line or
+sentence boundary, or where there is none at a place chosen by content. In every window of the other
+half one of them is chosen by smallest digest, boundaries first, so two texts with a common run of the
+least length always share a passage (winnowing). Around each shared passage the digests of wider
+windows tell which texts have a chance, and the regions around the passages, never whole texts, are
+compared character by character. Where many different regions meet in one window, the windows of full
+length are grouped first, and only the texts of equal windows are taken as a class; both ways decide on
+the characters and give the same result.
+
+Of each unit and run the occurrence in the record with the smallest key is kept, the others are removed,
 with their offsets in the original text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.hashing import Rolling, code_points, sliding_min
+from weftline.llm.skew import join_counted
 from weftline.session import cut_lineage
 
 #: Line ends, and sentence ends that count where white space follows.
@@ -30,17 +38,20 @@ _LINE = (0x0A, 0x0D, 0x2028, 0x2029)
 _STOP = (0x2E, 0x21, 0x3F)
 _FULL = (0x3002, 0xFF01, 0xFF1F)
 _BLANK = (0x20, 0x09, 0x0A, 0x0D, 0xA0)
-#: Largest group of rows that is paired directly; larger ones take the exact split by full windows.
+#: Different regions in one window that are compared pair by pair; where more meet, windows of full length are grouped
+#: first. The way changes, the result does not.
 PAIR_ROWS = 64
 #: Characters worked on at a time; longer texts are read in overlapping stretches.
 _STRETCH = 8_000_000
 
 
 class Shared(NamedTuple):
-    """Results of ``shared_spans``."""
+    """Results of ``shared_spans``. A text is named by the smallest key of the records that have it."""
 
-    pairs: DataFrame  # (a, b): each pair of keys, a < b, with a common run of at least the least length
-    spans: DataFrame  # (key, start, end, first): stretches that stand elsewhere; first: this is the earliest text
+    copies: DataFrame  # (key, text): records whose whole text another record has too
+    links: DataFrame  # (a, b): pairs of different texts with a common run, a < b
+    classes: DataFrame  # (class, text): texts that all have one unit or window of at least the least length
+    spans: DataFrame  # (key, start, end, first): stretches that stand elsewhere; first: this is the earliest record
 
 
 def _anchors(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Rolling, np.ndarray]:
@@ -71,62 +82,96 @@ def _anchors(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.n
     return owner, chosen, digest[chosen], rolling, begin
 
 
-def _unit_rows(least: int, step: int):
-    unit = least // 2
-    wide = least - step
-    back = np.arange(0, least - unit + 1, step)
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def _line_units(least: int):
+    """Digests of the whole text and of its lines of at least ``least`` characters, white space around them left out."""
+    line = re.compile(rf"[^\n]{{{least},}}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            take, digest, start, end, whole = [], [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                found = [(0, len(t), True)]
+                for m in line.finditer(t):
+                    a, b = m.start() + len(m[0]) - len(m[0].lstrip()), m.start() + len(m[0].rstrip())
+                    if b - a >= least and (a, b) != (0, len(t)):
+                        found.append((a, b, False))
+                for a, b, w in found:
+                    take.append(i)
+                    digest.append(_digest(t[a:b]))
+                    start.append(a)
+                    end.append(b)
+                    whole.append(w)
+            arrays = [batch.column(0).take(pa.array(take, pa.int64())), pa.array(digest, pa.binary()), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(whole, pa.bool_())], ["k", "unit", "start", "end", "whole"])
+
+    return run
+
+
+def _passages(least: int):
+    """Chosen passages of each text: the text's digest, the passage's digest and place; texts that repeat in a batch are read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = list(dict.fromkeys(batch.column(0).to_pylist()))
             done = 0
-            while done < batch.num_rows:
-                part, size, rows = [], 0, []
-                while done < batch.num_rows and size < 4_000_000:
-                    t = texts[done].as_py()
-                    if t is not None and len(t) > _STRETCH:
-                        yield from _huge(batch, done, t, least, wide, back)
-                    elif t is not None and len(t) >= least:
-                        part.append(t)
-                        rows.append(done)
-                        size += len(t)
+            while done < len(texts):
+                part, size = [], 0
+                while done < len(texts) and size < 4_000_000 and len(texts[done]) <= _STRETCH:
+                    part.append(texts[done])
+                    size += len(texts[done])
                     done += 1
                 if part:
-                    yield _unit_batch(batch, rows, part, least, wide, back)
+                    yield _passage_batch([_digest(t) for t in part], part, least)
+                elif done < len(texts):
+                    # A very long text in stretches that overlap by two runs, so no window is missed.
+                    t, name = texts[done], _digest(texts[done])
+                    for at in range(0, max(1, len(t) - 2 * least), _STRETCH):
+                        yield _passage_batch([name], [t[at : at + _STRETCH + 2 * least]], least, at)
+                    done += 1
 
     return run
 
 
-def _unit_batch(batch, rows, part, least, wide, back, shift=0) -> pa.RecordBatch:
-    owner, at, digest, rolling, begin = _anchors(part, least)
-    limit = np.append(begin[1:], len(rolling._sum) - 1)
-    first = at[:, None] - back[None, :]
-    fits = (first >= begin[owner][:, None]) & (first + wide <= limit[owner][:, None])
-    flat = rolling.at(np.where(fits, first, 0)[fits], wide).view(np.int64)
-    offsets = np.concatenate([[0], np.cumsum(fits.sum(1))]).astype(np.int32)
-    keys = batch.column(0).take(pa.array(np.asarray(rows, np.int64)[owner] if len(owner) else np.zeros(0, np.int64)))
+def _passage_batch(names: list[bytes], texts: list[str], least: int, shift: int = 0) -> pa.RecordBatch:
+    owner, at, digest, _, begin = _anchors(texts, least)
     return pa.RecordBatch.from_arrays(
-        [
-            keys,
-            pa.array(digest.view(np.int64)),
-            pa.array((at - begin[owner] + shift).astype(np.int64)),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-        ],
-        ["k", "digest", "pos", "wide"],
+        [pa.array(names, pa.binary()).take(pa.array(owner)), pa.array(digest.view(np.int64)), pa.array(at - begin[owner] + shift)], ["text", "digest", "pos"]
     )
 
 
-def _huge(batch, row, text, least, wide, back):
-    """Units of one very long text in stretches that overlap by two runs, so no window is missed."""
-    for at in range(0, max(1, len(text) - 2 * least), _STRETCH):
-        yield _unit_batch(batch, [row], [text[at : at + _STRETCH + 2 * least]], least, wide, back, at)
+def _regions(least: int, step: int):
+    """Around each passage: the region that any run of the least length through it lies in, and digests of wider windows."""
+    unit = least // 2
+    wide = least - step
+    back = np.arange(0, least - unit + 1, step)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, row in enumerate(batch.select(["t", "at"]).to_pylist()):
+                t, at = row["t"], np.array(sorted(row["at"]), np.int64)
+                starts = np.maximum(0, at - (least - unit))
+                regions = [t[a : p + least] for a, p in zip(starts.tolist(), at.tolist())]
+                rolling = Rolling(code_points(t))
+                first = at[:, None] - back[None, :]
+                fits = (first >= 0) & (first + wide <= len(t))
+                flat = rolling.at(first[fits], wide).view(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(fits.sum(1))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(np.full(len(at), i))),
+                        pa.array(at),
+                        pa.array(starts),
+                        pa.array(regions, pa.string()),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    ],
+                    ["k", "pos", "from", "region", "wide"],
+                )
 
-def units(df: DataFrame, key: str, text: str, least: int, step: int) -> DataFrame:
-    """(k, digest, pos, wide): the chosen units of every text of at least ``least`` characters."""
-    rows = df.select(df[key].alias("k"), df[text].alias("t")).where(F.length(df[text]) >= least)
-    kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(_unit_rows(least, step), f"k {kind}, digest bigint, pos bigint, wide array<bigint>")
+    return run
 
 
 def _common_run(a: str, b: str, pa_: int, pb: int, unit: int) -> tuple[int, int]:
@@ -162,24 +207,19 @@ def _common_run(a: str, b: str, pa_: int, pb: int, unit: int) -> tuple[int, int]
 
 
 def _compare(least: int):
+    """Common runs through two passages, as far as their regions reach."""
     unit = least // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, starts_a, starts_b, lengths = [], [], [], []
-            for i, row in enumerate(batch.select(["ta", "tb", "at"]).to_pylist()):
-                reach: dict[int, int] = {}  # per alignment, the end of the last run compared
-                for p in sorted(row["at"], key=lambda p: p["pa"]):
-                    shift = p["pb"] - p["pa"]
-                    if p["pa"] + unit <= reach.get(shift, 0):
-                        continue
-                    start, size = _common_run(row["ta"], row["tb"], p["pa"], p["pb"], unit)
-                    reach[shift] = start + size
-                    if size >= least:
-                        keep.append(i)
-                        starts_a.append(start)
-                        starts_b.append(start + shift)
-                        lengths.append(size)
+            for i, row in enumerate(batch.select(["pa", "pb", "fa", "fb", "ra", "rb"]).to_pylist()):
+                start, size = _common_run(row["ra"], row["rb"], row["pa"] - row["fa"], row["pb"] - row["fb"], unit)
+                if size >= least:
+                    keep.append(i)
+                    starts_a.append(start + row["fa"])
+                    starts_b.append(start + row["fa"] + row["pb"] - row["pa"])
+                    lengths.append(size)
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int64()) for x in (starts_a, starts_b, lengths))],
@@ -190,19 +230,18 @@ def _compare(least: int):
 
 
 def _full_windows(least: int):
-    """All windows of the full length through each unit, as digests."""
-    unit = least // 2
+    """All windows of the full length in each region, as digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, row in enumerate(batch.select(["t", "at"]).to_pylist()):
-                rolling = Rolling(code_points(row["t"]))
-                starts = np.unique(np.concatenate([np.arange(max(0, p - (least - unit)), p + 1) for p in row["at"]]))
-                starts = starts[starts + least <= len(row["t"])]
-                if len(starts):
-                    window = rolling.at(starts, least).view(np.int64)
-                    k = batch.column(0).take(pa.array(np.full(len(starts), i)))
-                    yield pa.RecordBatch.from_arrays([k, pa.array(window), pa.array(starts)], ["k", "window", "start"])
+            for i, region in enumerate(batch.column(3).to_pylist()):
+                window = Rolling(code_points(region)).all(least).view(np.int64)
+                if len(window):
+                    same = pa.array(np.full(len(window), i))
+                    start = batch.column(2)[i].as_py() + np.arange(len(window))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(same), batch.column(1).take(same), pa.array(window), pa.array(start)], ["k", "pos", "window", "start"]
+                    )
 
     return run
 
@@ -211,60 +250,98 @@ def shared_spans(df: DataFrame, key: str, text: str, *, least: int = 400, step:
     """Texts that have a run of at least ``least`` characters in common, character by character.
 
     ``key`` must be unique. Null texts and texts shorter than ``least`` share nothing. Other
-    columns are left behind. ``pairs`` has each pair once, smaller key first; ``spans`` the
-    stretches of each text that stand in another text too, possibly overlapping.
+    columns are left behind. ``spans`` has the stretches of each record that stand in another record
+    too, possibly overlapping. Nothing is expanded into all pairs here; ``found_pairs`` does that.
 
-    Shuffles: digests of units (about one per ``least`` / 4 characters), then the texts that may
-    share a run. Grouping is by partial aggregates, so a unit that a third of all texts have is
-    counted before it is shuffled; such groups are never paired before the exact split.
+    Shuffles: digests of units, digests of passages (about one per ``least`` / 4 characters), then the
+    texts that may share a run, once, and the regions around their shared passages. Grouping is by
+    partial aggregates, and groups that hold many rows are joined by broadcast of their digests.
     """
     if least < 16 or not 0 < step <= least // 4:
         raise ValueError("least must be at least 16 and step at most a quarter of it")
-    chosen = cut_lineage(units(df, key, text, least, step))
-    many = chosen.groupBy("digest").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("digest")
-    wide = chosen.join(many, "digest", "left_semi").select("k", "pos", F.explode("wide").alias("w"))
-    groups = (
-        wide.groupBy("w").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("w", "n")
-    )
-    members = cut_lineage(wide.join(groups, "w").select("w", "k", "pos", (F.col("n") > PAIR_ROWS).alias("hot")))
-
-    # The texts in question, once.
-    involved = members.groupBy("k").agg(F.max("hot").alias("hot"))
-    texts = cut_lineage(df.select(df[key].alias("k"), df[text].alias("t")).join(involved, "k"))
+    rows = df.select(df[key].alias("k"), df[text].alias("t")).where(F.length(df[text]) >= least)
+    kind = rows.schema["k"].dataType.simpleString()
 
-    # Small groups: pairs by join, each alignment once, then compared character by character.
-    small = members.where(~F.col("hot")).select("w", "k", "pos")
+    # First pass: whole records and their lines.
+    units = cut_lineage(rows.mapInArrow(_line_units(least), f"k {kind}, unit binary, start bigint, end bigint, whole boolean"))
+    whole = units.where("whole").groupBy("unit").agg(F.min("k").alias("text"), F.count("*").alias("n"))
+    whole = cut_lineage(whole)
+    copies = cut_lineage(join_counted(units.where("whole").select("k", "unit", "end"), whole.where("n > 1"), ["unit"], "n").select("k", "text", "end"))
+    copy_spans = copies.select("k", F.lit(0).cast("bigint").alias("start"), "end", (F.col("k") == F.col("text")).alias("first"))
+    others = units.join(copies.where("k != text").select("k"), "k", "left_anti")
+    groups = others.groupBy("unit").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("unit", "lo", "n")
+    same_units = cut_lineage(join_counted(others, cut_lineage(groups), ["unit"], "n"))
+    unit_classes = same_units.select(F.hex("unit").alias("class"), F.col("k").alias("text"))
+    unit_spans = same_units.select("k", "start", "end", (F.col("k") == F.col("lo")).alias("first"))
+
+    # Second pass: passages of different texts.
+    passages = cut_lineage(rows.select("t").mapInArrow(_passages(least), "text binary, digest bigint, pos bigint"))
+    many = passages.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("digest", "n")
+    asked = join_counted(passages, cut_lineage(many), ["digest"], "n").groupBy("text").agg(F.collect_set("pos").alias("at"))
+    asked = asked.join(whole.select(F.col("unit"), F.col("text").alias("k")), F.col("text") == F.col("unit")).select("k", "at")
+    regions = rows.join(asked, "k").select("k", "t", "at").mapInArrow(_regions(least, step), f"k {kind}, pos bigint, from bigint, region string, wide array<bigint>")
+    regions = cut_lineage(regions)
+    wide = regions.select("k", "pos", F.explode("wide").alias("w"))
+    groups = wide.groupBy("w").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("w", "n")
+    members = cut_lineage(join_counted(wide, cut_lineage(groups), ["w"], "n").select("w", "k", "pos", (F.col("n") > PAIR_ROWS).alias("hot")))
+    region = regions.select("k", "pos", "from", "region")
+
+    # Few regions in a window: each two passages once, their regions compared character by character.
+    small = members.where(~F.col("hot"))
     left, right = small.select("w", F.col("k").alias("a"), F.col("pos").alias("pa")), small.select("w", F.col("k").alias("b"), F.col("pos").alias("pb"))
-    met = left.join(right, "w").where("a < b").select("a", "b", "pa", "pb", (F.col("pb") - F.col("pa")).alias("shift"))
-    per_shift = met.groupBy("a", "b", "shift", "pa").agg(F.min("pb").alias("pb"))
-    asked = per_shift.groupBy("a", "b").agg(F.collect_list(F.struct("pa", "pb")).alias("at"))
-    both = (
-        asked.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a")
-        .join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
-        .select("a", "b", "ta", "tb", "at")
-    )
-    kind = texts.schema["k"].dataType.simpleString()
+    met = left.join(right, "w").where("a < b").select("a", "b", "pa", "pb").distinct()
+    of = lambda s: region.select(F.col("k").alias(s), F.col("pos").alias(f"p{s}"), F.col("from").alias(f"f{s}"), F.col("region").alias(f"r{s}"))
+    both = met.join(of("a"), ["a", "pa"]).join(of("b"), ["b", "pb"]).select("a", "b", "pa", "pb", "fa", "fb", "ra", "rb")
     runs = cut_lineage(both.mapInArrow(_compare(least), f"a {kind}, b {kind}, start_a bigint, start_b bigint, size bigint"))
 
-    # Large groups: digests of all windows of the full length; equal sets of texts are kept once.
-    hot = members.where("hot").groupBy("k").agg(F.collect_set("pos").alias("at"))
-    hot = texts.where("hot").select("k", "t").join(hot, "k").select("k", "t", "at")
-    windows = cut_lineage(hot.mapInArrow(_full_windows(least), f"k {kind}, window bigint, start bigint"))
+    # Many regions in a window: windows of the full length; equal sets of texts are kept once, by their characters.
+    hot = members.where("hot").select("k", "pos").distinct().join(region, ["k", "pos"]).select("k", "pos", "from", "region")
+    windows = cut_lineage(hot.mapInArrow(_full_windows(least), f"k {kind}, pos bigint, window bigint, start bigint"))
     sets = windows.select("window", "k").distinct().groupBy("window").agg(
         F.min("k").alias("lo"), F.count("*").alias("n"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("sig")
     ).where("n > 1")
+    sets = cut_lineage(sets)
     one = sets.groupBy("n", "sig", "lo").agg(F.min("window").alias("window")).select("window")
-    of = windows.join(one, "window", "left_semi").select("window", "k").distinct()
-    hot_pairs = of.select("window", F.col("k").alias("a")).join(of.select("window", F.col("k").alias("b")), "window").where("a < b").select("a", "b")
+    kept = windows.join(one, "window", "left_semi").join(region, ["k", "pos"])
+    text_of = F.substring("region", (F.col("start") - F.col("from") + 1).cast("int"), F.lit(least))
+    window_classes = kept.select(F.sha2(text_of, 256).alias("class"), F.col("k").alias("text")).distinct()
+    window_spans = windows.join(sets.select("window", "lo"), "window").select("k", "start", (F.col("start") + least).alias("end"), (F.col("k") == F.col("lo")).alias("first"))
 
-    pairs = runs.select("a", "b").union(hot_pairs).distinct()
     own = runs.select(F.col("a").alias("k"), F.col("start_a").alias("start"), (F.col("start_a") + F.col("size")).alias("end"), F.lit(True).alias("first"))
     other = runs.select(F.col("b").alias("k"), F.col("start_b").alias("start"), (F.col("start_b") + F.col("size")).alias("end"), F.lit(False).alias("first"))
-    hot_spans = windows.join(sets.select("window", "lo"), "window").select(
-        "k", "start", (F.col("start") + least).alias("end"), (F.col("k") == F.col("lo")).alias("first")
+    spans = copy_spans.union(unit_spans).union(own).union(other).union(window_spans).withColumnRenamed("k", key)
+    return Shared(
+        copies.select(F.col("k").alias(key), "text"), runs.select("a", "b").distinct(), unit_classes.union(window_classes).distinct(), spans
     )
-    spans = own.union(other).union(hot_spans).withColumnRenamed("k", key)
-    return Shared(pairs, spans)
+
+
+def found_pairs(shared: Shared, key: str) -> DataFrame:
+    """(a, b): each pair of keys with a common run, a < b; classes and copies are expanded, so the output may be large."""
+    texts = shared.classes
+    together = texts.withColumnRenamed("text", "a").join(texts.withColumnRenamed("text", "b"), "class").where("a < b").select("a", "b")
+    linked = shared.links.union(together).distinct()
+    keys = shared.copies
+    for side in ("a", "b"):
+        linked = linked.join(keys.select(F.col(key).alias(f"key_{side}"), F.col("text").alias(side)), side, "left")
+    a, b = F.coalesce("key_a", "a"), F.coalesce("key_b", "b")
+    linked = linked.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    same = keys.withColumnRenamed(key, "a").join(keys.withColumnRenamed(key, "b"), "text").where("a < b").select("a", "b")
+    return linked.union(same)
+
+
+def link_counts(shared: Shared, key: str) -> DataFrame:
+    """(key, text, links): every record that shares a run, its text and to how many other texts that one is linked.
+
+    Texts of a class count each other without being paired: a text has one link less than its largest
+    class has members, or as many as it has pairs, whichever is more (a lower bound where classes differ).
+    """
+    sizes = shared.classes.groupBy("class").agg((F.count("*") - 1).alias("n"))
+    by_class = shared.classes.join(sizes, "class").groupBy("text").agg(F.max("n").alias("n"))
+    by_link = shared.links.select(F.explode(F.array("a", "b")).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+    links = by_class.union(by_link).groupBy("text").agg(F.max("n").alias("links"))
+    with_copies = shared.copies.join(links, "text", "left").select(key, "text", F.coalesce("links", F.lit(0)).alias("links"))
+    alone = links.join(shared.copies.select("text"), "text", "left_anti").select(F.col("text").alias(key), "text", "links")
+    return with_copies.unionByName(alone)
 
 
 def covered(spans: DataFrame, key: str) -> DataFrame:
