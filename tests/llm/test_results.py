@@ -5,7 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from weftline.llm.answers import LABELS, defects, features, fit, flags, is_nothing, language, overlap, read, _score
+import numpy as np
+
+from weftline.llm.answers import LABELS, calibrate, defects, facts, features, fit, flags, is_nothing, language, overlap, read, scores
 from weftline.llm.cutoff import ENCODINGS, body_ending, cut_values, ending, lengths, output_ending
 
 NAMES = ["Garwen", "Lusano", "Teldor", "Brinmor", "Quasel", "Denham", "Wolgard"]
@@ -110,20 +112,44 @@ def test_defects(spark):
             raw = "The claim is FACTUAL. " + t
         elif kind == 7:
             raw = output("Well attested.")
-        rows.append((k, c, raw, "m", None))
+        rows.append((k, c, raw, "m", None if read(raw).shape != "json" else "UNKNOWN" if kind == 2 else "FACTUAL"))
     rows += [(9000, None, output(reason(rnd) + "."), "m", None), rows[0]]
-    df = spark.createDataFrame(rows, "result_id long, gold_claim string, raw_model_output string, model string, rationale string").withColumn("defect", F.lit("x"))
-    got = {r["result_id"]: r["defect"] for r in defects(df, "result_id", "raw_model_output", "gold_claim", "model", "rationale").collect()}
+    df = spark.createDataFrame(rows, "result_id long, gold_claim string, raw_model_output string, model string, prediction string").withColumn("defect", F.lit("x"))
+    got = {r["result_id"]: r["defect"] for r in defects(df, "result_id", "raw_model_output", "gold_claim", "model", "prediction").collect()}
     wrong = {k: (got.get(k), want.get(k)) for k in {*got, *want} if got.get(k) != want.get(k)}
     assert len(wrong) <= 0.04 * len(want), wrong
     empty = df.limit(0)
-    assert defects(empty, "result_id", "raw_model_output", "gold_claim", "model", "rationale").collect() == []
+    assert defects(empty, "result_id", "raw_model_output", "gold_claim", "model", "prediction").collect() == []
 
 
 def test_untrained_classifier_proposes_nothing_wrong():
     model = fit([])
-    a = read(output("It is well known that the mill was opened."))
-    assert not any(flags(a, "The tower of X was closed in 1900.", _score(model.weights, model.bias, features(a, "The tower")), model.threshold)[2:]) or len(LABELS) == 5
+    f = facts([output("It is well known that the mill was opened."), None], ["The tower of X was closed in 1900.", None])
+    found = flags(f, scores(model.weights, model.bias, features(f, [None, None])), model.threshold)
+    assert not found[0, 2:].any() and found[1, 0]
+    none = facts([], [])
+    assert scores(model.weights, model.bias, features(none, [])).shape == (0, len(LABELS))
+
+
+def test_facts_agree_with_single_texts():
+    rnd = random.Random(6)
+    outputs = [output(reason(rnd)) for _ in range(50)] + [output("Das ist «the Mill» nicht bekannt"), "Источники", None, "", output("この主張は")]
+    claims = [claim(rnd) for _ in outputs]
+    f = facts(outputs, claims)
+    for i, (o, c) in enumerate(zip(outputs, claims)):
+        share, added = overlap(read(o).prose, c)
+        assert abs(f.share[i] - share) < 1e-9 and f.added[i] == added and f.theirs[i] == language(c)
+    assert f.ours[50] == "de" and f.ours[51] == "ru" and f.ours[54] == "ja" and f.nothing[52]
+
+
+def test_thresholds_come_from_held_out_answers():
+    rnd = np.random.default_rng(1)
+    target = (rnd.random((4000, len(LABELS))) < 0.2).astype(np.float32)
+    score = np.clip(0.2 + 0.6 * target + 0.05 * rnd.standard_normal(target.shape), 0.01, 0.99)
+    t = calibrate(score, target)
+    k = LABELS.index("refusal")
+    assert (score[target[:, 0] == 0, 0] >= t[0]).mean() <= 0.021 and (score[target[:, 0] == 1, 0] >= t[0]).all()
+    assert 0.4 < t[k] < 0.65 and calibrate(score[:0], target[:0]).tolist() == [0.5] * len(LABELS)
 
 
 def test_whole_values_are_read():

@@ -59,6 +59,7 @@ _NUMBER = re.compile(r"#(?:[0-9]*|[xX][0-9A-Fa-f]*)\Z")
 #: Elements whose content is not visible.
 _HIDDEN = ("script", "style", "noscript", "title")
 _TAG = re.compile(r"<[^>]*>")
+_DECODER = json.JSONDecoder(strict=False)
 _REASON = re.compile(r"\"(?:rationale|explanation|reason|reasoning|justification)\"\s*:\s*\"((?:[^\"\\]|\\.)*)\"", re.S)
 
 
@@ -165,6 +166,11 @@ def ending(text: str) -> Ending:
 
 def _open_json(text: str) -> bool:
     """Whether brackets or a string are open at the end of a JSON text."""
+    try:
+        _DECODER.raw_decode(text)
+        return False
+    except (ValueError, RecursionError):
+        pass
     depth, inside, escaped = 0, False, False
     for c in text:
         if inside:

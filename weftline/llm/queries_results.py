@@ -47,7 +47,7 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(result_id, defect): results whose answer is defective, with the first defect that applies."""
     answers = _results(spark, sf_dir).where("status is distinct from 'request_error'")
-    return defects(answers, "result_id", "raw_model_output", "gold_claim", "model", "rationale")
+    return defects(answers, "result_id", "raw_model_output", "gold_claim", "model", "prediction")
 
 
 QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_rates": p5_rates}
