@@ -331,7 +331,7 @@ def features(f: Facts, predictions: list[str | None]) -> Matrix:
         row += [f"{name} {k}" for name in (f"languages are {pair}", f"copied {share > 0.85 and added <= FRAME_WORDS}", f"ends {end.state}", f"says nothing {nothing}") for k in range(PAIR_PLACES)]
         dense.append([_h(x) for x in row])
     rows = len(dense)
-    places = np.array(dense, np.int64).reshape(rows, -1)
+    places = np.array(dense, np.int64).reshape(rows, -1 if rows else 0)
     owner, gram = f.grams
     count = np.bincount(owner, minlength=rows)
     row = np.concatenate([np.repeat(np.arange(rows), places.shape[1]), owner])

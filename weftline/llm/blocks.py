@@ -49,6 +49,8 @@ _KEY_DROP = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122)
 WORDS, PATHS, MEASURES = 4096, 4096, 16
 WORD_SIZE, PATH_SIZE, HIDDEN_SIZE = 20, 12, 24
 TRAIN_PAGES, EPOCHS = 1500, 12
+#: Largest body that is trained on; with twice ``TRAIN_PAGES`` rows at most, it bounds what reaches the driver.
+TRAIN_BYTES = 100_000
 
 
 class Block(NamedTuple):
@@ -463,9 +465,9 @@ def fit(sample: list[tuple[list[Block], str]], seed: int = 7, epochs: int = EPOC
 
 
 def train(df: DataFrame, body: str, charset: Column, key: str, pages: int = TRAIN_PAGES) -> Model:
-    """Train on a bounded sample of ``df``: rows whose hashed key lies in a share of the hash space that holds about ``pages`` rows."""
+    """Train on a bounded sample of ``df``: rows whose hashed key lies in a share of the hash space that holds about ``pages`` rows, bodies up to ``TRAIN_BYTES``."""
     rows = df.count()
-    part = df.where(F.length(df[body]) > 0)
+    part = df.where(F.length(df[body]).between(1, TRAIN_BYTES))
     if rows > pages:
         part = part.where(F.xxhash64(df[key]) < int(-(2**63) + 2**64 * (pages / rows)))
     picked = part.select(F.xxhash64(df[key]).alias("h"), df[body].alias("b"), charset.alias("c")).limit(2 * pages).collect()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.http import charset, media_type
 from weftline.llm.blocks import main_blocks, train
 from weftline.llm.garble import garbled
-from weftline.llm.residue import build_index, frequencies, is_residue, read_pages, read_texts
+from weftline.llm.residue import Index, build_index, frequencies, is_residue, read_pages, read_texts
 
 
 def _fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +41,23 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(_is_page(rows))
 
 
+def _readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _fetches(spark, sf_dir)
+    media = media_type(rows.headers)
+    return rows.where(media.startswith("text/") | (media == "application/json"))
+
+
+def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index]:
+    """Every page read, and the index: p4 and p7 share labeller, weights and so what is residue."""
+    readable, pages = _readable(spark, sf_dir), _pages(spark, sf_dir)
+    index = build_index(*frequencies(readable, "body", charset(readable.headers)))
+    model = train(pages, "body", charset(pages.headers), "fetch_id")
+    return read_pages(pages, "fetch_id", "body", charset(pages.headers), model, index), index
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fetch_id, block_key): main blocks of the pages that are no residue."""
-    rows = _pages(spark, sf_dir)
-    read = read_pages(rows, "fetch_id", "body", charset(rows.headers)).where(~is_residue())
+    read = _read(spark, sf_dir)[0].where(~is_residue())
     return read.dropDuplicates(["fetch_id"]).select("fetch_id", F.explode("block_keys").alias("block_key"))
 
 
@@ -56,15 +69,11 @@ def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fetch_id): bodies whose content is residue."""
-    rows = _fetches(spark, sf_dir)
-    media = media_type(rows.headers)
-    readable = rows.where(media.startswith("text/") | (media == "application/json"))
-    index = build_index(*frequencies(readable, "body", charset(rows.headers)))
-    pages, texts = rows.where(_is_page(rows)), readable.where(~_is_page(rows))
-    model = train(pages, "body", charset(rows.headers), "fetch_id")
-    found = read_pages(pages, "fetch_id", "body", charset(rows.headers), model, index).where(is_residue()).select("fetch_id")
-    other = read_texts(texts, "fetch_id", "body", charset(rows.headers), index).where(is_residue()).select("fetch_id")
-    return found.union(other).distinct()
+    read, index = _read(spark, sf_dir)
+    readable = _readable(spark, sf_dir)
+    texts = readable.where(~_is_page(readable))
+    other = read_texts(texts, "fetch_id", "body", charset(texts.headers), index).where(is_residue()).select("fetch_id")
+    return read.where(is_residue()).select("fetch_id").union(other).distinct()
 
 
 QUERIES = {

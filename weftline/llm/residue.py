@@ -1,6 +1,7 @@
 """Template residue, filler, notices and error messages in place of content.
 
-Labelled exemplars of residue are held in an inverted index from word to exemplar. The content of
+Labelled exemplars of residue are held in an inverted index from word to exemplar; all of one label
+together are one more exemplar, as notices are worded in many ways from the same words. The content of
 a page is read in overlapping windows of words; each window retrieves exemplars through its words
 and is scored by the share of its TF-IDF weight that one exemplar contains. A page whose content
 lies mostly in windows of high score is residue. Weights come from the whole corpus.
@@ -26,74 +27,106 @@ from weftline.llm.blocks import Block, Model, block_key, headline, label_pages,
 #: Labelled exemplars of residue, by kind; a 9 stands for any number.
 EXEMPLARS = {
     "error": """
-        404 page not found
-        9 - Page not found. The page you are looking for has moved or does not exist.
         404 not found. The requested URL was not found on this server.
-        Nothing here. We could not find what you wanted. Try the search box.
-        This article is no longer available. It may have been removed by its author.
-        Oops! Something went wrong on our side. Please try again later.
-        500 internal server error. The server encountered an unexpected condition.
-        Bad gateway. The upstream server at node 9 sent no valid reply.
-        502 bad gateway. The server received an invalid response from the upstream server.
-        Service unavailable. The server is under maintenance and will return shortly.
-        503 service temporarily unavailable. Please try again later.
-        Gateway timeout. The server did not respond in time.
-        Error establishing a database connection
-        Unexpected exception. java.lang.IllegalStateException: null at app.view.Render.run(Render.java:9)
-        Fatal error: uncaught exception. Stack trace: main thrown in line 9
-        Traceback most recent call last file line 9 in module
-        Seite nicht gefunden. Die angeforderte Seite ist leider nicht vorhanden.
-        Page introuvable. Le document demandé n’existe plus sur ce serveur.
-        Página no encontrada. El contenido que busca ya no está disponible.
-        Nie znaleziono strony. Strona, której szukasz, nie istnieje.
-        Pagina non trovata. La pagina richiesta non esiste.
-        Страница не найдена. Запрошенная страница не существует.
-        Domain parked. This name may be for sale. Ask the registrar for details.
-        This domain is for sale. This account has been suspended. Contact your hosting provider.
+        404 page not found. The page you are looking for might have been removed, had its name changed or is temporarily unavailable.
+        Sorry, the page you requested could not be found. It may have moved or no longer exists.
+        This page does not exist. Check the address for typing errors, go back or return to the home page.
+        Oops! That page can't be found. It looks like nothing was found at this location. Maybe try a search?
+        We can't find the page you're looking for. The link you followed may be broken or the content has been deleted.
+        The article or document you tried to open is no longer available or has expired.
+        410 gone. The resource is no longer available on this server and there is no forwarding address.
+        400 bad request. Your browser sent a request that this server could not understand.
+        500 internal server error. The server encountered an internal error or misconfiguration and was unable to complete your request.
+        Something went wrong. An error occurred while processing your request. Please try again later or contact the administrator.
+        We are experiencing technical difficulties. Our team has been notified and is working on the problem.
+        502 bad gateway. The proxy server received an invalid response from an upstream server.
+        503 service unavailable. The server is temporarily unable to service your request due to maintenance downtime or capacity problems.
+        The site is down for scheduled maintenance. We will be back online shortly. Thank you for your patience.
+        504 gateway timeout. The upstream server did not respond in time. Connection timed out.
+        Error establishing a database connection. Could not connect to the database server.
+        Fatal error: uncaught exception thrown in file on line 9. Stack trace follows.
+        Warning: undefined variable in script on line 9
+        Traceback (most recent call last): file line 9 in module raise error
+        java.lang.NullPointerException at org.apache.catalina.core. Exception report, root cause, null pointer, illegal state exception at app view main run java 9
+        Server error in application. Runtime error. The current custom error settings prevent the details from being viewed.
+        This site can't be reached. Check if there is a typo. The host name could not be resolved. DNS error.
+        The domain is parked. This domain name may be for sale. Buy this domain or contact the registrar or owner.
+        This account has been suspended. Contact your hosting provider for more information. The bandwidth limit has been exceeded.
+        Welcome to nginx! If you see this page, the web server is successfully installed and working. Further configuration is required.
+        It works! This is the default web page for this server. Index of parent directory.
+        Seite nicht gefunden. Die gewünschte, angeforderte oder aufgerufene Seite existiert nicht, wurde verschoben oder ist leider nicht vorhanden.
+        Es ist ein Fehler aufgetreten. Interner Serverfehler. Bitte versuchen Sie es später erneut.
+        Page non trouvée, page introuvable. La page ou le document demandé n’existe pas ou n'existe plus sur ce serveur ou a été déplacé.
+        Une erreur est survenue. Erreur interne du serveur. Veuillez réessayer plus tard.
+        Página no encontrada. La página o el contenido que busca no existe, ya no está disponible o se ha movido.
+        Se ha producido un error interno del servidor. Inténtelo de nuevo más tarde.
+        Pagina non trovata. La pagina richiesta che cerchi non esiste o è stata spostata.
+        Página não encontrada. A página que você procura não existe ou foi removida.
+        Nie znaleziono strony. Strona, której szukasz, nie istnieje lub została przeniesiona.
+        Страница не найдена. Запрошенная страница не существует или была удалена.
+        Pagina niet gevonden. De pagina die u zoekt bestaat niet.
         """,
     "access": """
-        Access denied. You do not have permission to view this resource. Reference 9.
-        403 forbidden. You are not allowed to access this page.
-        Checking your browser. One more step: confirm that you are human. Ray 9
-        Please complete the security check to access. Verify you are a human. Complete the captcha.
-        Too many requests. Slow down and come back in 9 seconds.
-        You have been blocked. Unusual traffic from your network.
-        Please log in to continue. You must be signed in to view this page.
-        Zugriff verweigert. Sie haben keine Berechtigung.
-        Accès refusé. Vous n’êtes pas autorisé à consulter cette page.
-        Acceso denegado. No tiene permiso para ver esta página.
+        403 forbidden. You don't have permission to access this resource on this server.
+        Access denied. You are not authorized to view this page or resource. Error reference number 9.
+        401 unauthorized. Authentication required. This server could not verify that you are authorized to access the document.
+        Checking your browser before accessing the site. This process is automatic. Your browser will redirect shortly. Ray id 9
+        Just a moment. Verifying that you are human. This may take a few seconds. The site needs to review the security of your connection.
+        One more step. Please complete the security check to access the site. Solve the captcha to prove that you are not a robot.
+        Please confirm you are a human by completing the challenge below. Press and hold the button.
+        Our systems have detected unusual traffic or automated requests from your computer network.
+        429 too many requests. You have sent too many requests in a given amount of time, slow down. Rate limit exceeded. Please try again or come back in 9 seconds.
+        Sorry, you have been blocked. Your IP address has been banned. You are unable to access this site.
+        Please log in to continue. You must be signed in to view this page. Sign in or create an account.
+        This content is for subscribers only. Subscribe or log in to continue reading.
+        This content is not available in your country or region for legal reasons.
+        Your session has expired. Please log in again.
+        Zugriff verweigert. Sie haben keine Berechtigung, diese Seite oder Ressource aufzurufen oder anzuzeigen.
+        Bitte bestätigen Sie, dass Sie kein Roboter sind. Zu viele Anfragen.
+        Accès refusé, accès interdit. Vous n’êtes pas autorisé à accéder à cette page ou à la consulter.
+        Veuillez confirmer que vous n'êtes pas un robot. Trop de requêtes.
+        Acceso denegado. No tiene permiso o autorización para acceder a esta página o para verla.
+        Confirme que no es un robot. Demasiadas solicitudes.
+        Accesso negato. Acesso negado. Brak dostępu. Доступ запрещён.
         """,
     "scripts": """
         You need to enable JavaScript to run this app.
-        Please enable JavaScript to view this page.
-        This application requires scripts. Turn them on in your browser settings and reload.
-        Your browser does not execute scripts, so the article cannot be displayed.
-        Loading… If nothing happens, allow scripts for this site.
-        JavaScript is disabled. Please enable JavaScript and reload the page to continue.
-        Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.
-        Activez JavaScript pour afficher le contenu de ce site.
-        Active JavaScript para ver esta página.
-        Włącz JavaScript, aby wyświetlić stronę.
-        Loading please wait
+        Please enable JavaScript to view this page or use this site.
+        JavaScript is disabled in your browser. Please turn it on or enable it in the settings and reload the page to continue.
+        JavaScript is required. This site, page or application requires JavaScript to work or function properly.
+        Your browser does not support JavaScript or has scripts disabled, so the page or content cannot be displayed or shown.
+        We're sorry, but this application doesn't work properly without JavaScript enabled. Please enable it to continue.
+        Please allow scripts and cookies for this site, then refresh. Cookies must be enabled.
+        Your browser is out of date. Please upgrade to a modern supported browser.
+        Loading, please wait. If nothing happens, click here.
+        Redirecting. You will be redirected automatically. If you are not redirected, click the link.
+        Bitte aktivieren Sie JavaScript in Ihrem Browser, um diese Seite, Website oder Anwendung zu sehen, anzuzeigen oder zu nutzen.
+        Veuillez activer JavaScript dans votre navigateur pour afficher cette page, le contenu ou ce site.
+        Active o habilite JavaScript en su navegador para ver esta página o este sitio.
+        Attiva JavaScript nel browser per visualizzare questa pagina. Ative o JavaScript para ver esta página.
+        Włącz JavaScript w przeglądarce, aby wyświetlić tę stronę. Включите JavaScript, чтобы просмотреть эту страницу.
         """,
     "filler": """
         Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
-        Blah blah blah, more copy to come.
-        Text text text text text text.
-        asdf asdf qwer asdf jkl asdf
-        xxx xxx xxx
-        test test test
-        Coming soon: content for this block.
-        This is placeholder text. Replace it with your own story.
-        Write a few lines here to tell visitors who you are.
-        Type the description of your product in this box.
-        Your text goes here. Headline goes here. Body goes here. Subtitle goes here.
-        TODO: write this section
-        Insert summary here
-        Sample page. This is an example page.
-        Hello world. Welcome. This is your first post. Edit or delete it, then start writing.
-        Untitled. New page. Draft. No title.
-        Add your text here. Click to edit this text.
+        Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae ab illo inventore veritatis et quasi architecto beatae vitae dicta sunt explicabo nemo enim ipsam voluptatem quia voluptas aspernatur aut odit aut fugit
+        The quick brown fox jumps over the lazy dog
+        Blah blah blah. Bla bla bla.
+        Text text text. Content content content. Word word word. Sample sample sample.
+        asdf asdf qwer qwerty jkl asdfgh foo bar baz
+        xxx xxx xxx yyy zzz
+        test test test testing 9 this is a test, just a test page, please ignore
+        Coming soon. Under construction. This page or section is under construction. New content will be added here soon. Watch this space.
+        This is placeholder text. Replace this text with your own content. This is dummy copy. More copy to come, copy goes here.
+        Your text goes here. Add your text here. Enter text here. Click here or double click to edit and add text.
+        Insert your headline here. Title goes here. Heading, subtitle, body and description go here. Insert image, link, caption or summary here.
+        Describe your product, service or company here. Write a short description about yourself. Tell your visitors your story.
+        To do: write, add or finish this section. To be added. To be written. To be announced. To be determined. Draft.
+        Hello world! Welcome to WordPress. This is your first post. Edit or delete it, then start writing!
+        This is an example page. It's different from a blog post because it will stay in one place. Sample page.
+        Untitled document. New page. No title. No content. Default title. Empty page. Page title
+        Hier steht Ihr Text. Dies ist ein Blindtext, Platzhalter oder Beispieltext. Fügen Sie hier Ihren Text ein.
+        Votre texte ici. Ceci est un texte de remplacement, un exemple. Insérez votre texte ici.
+        Su texto aquí. Este es un texto de ejemplo o de relleno. Escriba su texto aquí.
         """,
 }
 #: Forms of unfilled placeholders.
@@ -105,8 +138,8 @@ PLACEHOLDER = re.compile(
 #: Words by which a sentence speaks of placeholders instead of having one.
 _SPEAKS = re.compile(r"\b(?:tags?|placeholders?|such as|called|named|variables?|explains?|writes?|syntax|marker|field)\b[^.]{0,60}$", re.I)
 
-#: Words of a window; score of a residue window; share that makes a page residue.
-WINDOW, SCORE, COVERED = 8, 0.72, 0.3
+#: Words of a window; score of a residue window under one exemplar, and under all of a label; share that makes a page residue.
+WINDOW, SCORE, LABEL_SCORE, COVERED = 8, 0.72, 0.8, 0.3
 #: Blocks of at least this probability are content here: a notice may be all that a page has.
 CONTENT = 0.25
 
@@ -121,7 +154,7 @@ def words_of(text: str) -> list[str]:
 class Index(NamedTuple):
     """Inverted index of the exemplars with the weights of the words."""
 
-    of: dict[str, tuple[int, ...]]  # word -> exemplars
+    of: dict[str, tuple[int, ...]]  # word -> exemplars; -1 and below: all of a label
     weight: dict[str, float]
     rare: float  # weight of a word that no exemplar has
 
@@ -137,15 +170,18 @@ def vocabulary() -> set[str]:
 def build_index(texts: int, frequency: dict[str, int]) -> Index:
     """Index with inverse document frequencies from the corpus."""
     of: dict[str, list[int]] = {}
-    for n, (_, words) in enumerate(exemplars()):
+    labels = {kind: -1 - k for k, kind in enumerate(EXEMPLARS)}
+    for n, (kind, words) in enumerate(exemplars()):
         for w in words:
             of.setdefault(w, []).append(n)
+            if labels[kind] not in of[w]:
+                of[w].append(labels[kind])
     weight = {w: math.log((texts + 1) / (frequency.get(w, 0) + 1)) + 0.1 for w in of}
     return Index({w: tuple(v) for w, v in of.items()}, weight, math.log(texts + 1) / 2 + 0.1)
 
 
-def covered_words(words: list[str], index: Index) -> np.ndarray:
-    """Which words of a passage lie in a window that one exemplar contains to at least ``SCORE``."""
+def covered_words(words: list[str], index: Index, labels: bool = True) -> np.ndarray:
+    """Which words of a passage lie in a window that one exemplar contains to at least ``SCORE``, or (``labels``) all of a label to ``LABEL_SCORE``."""
     n = len(words)
     hit = np.zeros(n, bool)
     if index.of.keys().isdisjoint(words):
@@ -164,7 +200,13 @@ def covered_words(words: list[str], index: Index) -> np.ndarray:
         for k in range(a, a + size):
             for e in index.of.get(words[k], ()):
                 per[e] = per.get(e, 0.0) + weight[k]
-        if max(per.values()) >= need:
+        one, all_of = 0.0, 0.0
+        for e, got in per.items():
+            if e >= 0:
+                one = max(one, got)
+            else:
+                all_of = max(all_of, got)
+        if one >= need or labels and all_of * SCORE >= need * LABEL_SCORE:
             hit[a : a + size] = True
     return hit
 
@@ -190,18 +232,18 @@ def residue(blocks: list[Block], title: str, score: np.ndarray, page: str, index
     """Share of the content that is residue, and whether it has placeholders."""
     top = headline(blocks, title)
     found = total = 0
-    whole: list[tuple[int, int]] = []  # the headline counts only where nothing else is content
+    whole: list[tuple[int, int]] = []  # a headline that is no notice itself counts only where nothing else is content
     content = []
     for i, (b, s) in enumerate(zip(blocks, score)):
         if b.linked > 0.5:
             continue
         words = words_of(b.text)
-        hit = int(covered_words(words, index).sum())
+        hit = int(covered_words(words, index, s >= CONTENT).sum())
         # A block that is nothing but residue is content wherever the labeller sees it.
         if s < CONTENT and (not hit or hit < SCORE * len(words)):
             continue
         content.append(b)
-        if i == top:
+        if i == top and hit < len(words):
             whole.append((hit, len(words)))
         else:
             found, total = found + hit, total + len(words)
