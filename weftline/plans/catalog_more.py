@@ -121,21 +121,6 @@ def _unpivot(s, d):
     return w.unpivot("claim_id", ["said", "reasoned", "failed"], "what", "n")
 
 
-@query("relation_xtab", f"with {G} select human_label, count_if(claim_checkworthiness is null) as missing, count(claim_checkworthiness) as given, count_if(evidence_available) as with_evidence from g group by 1")
-def _xtab(s, d):
-    rows = claims(s, d).groupBy("human_label")
-    return rows.agg(F.count_if(F.col("claim_checkworthiness").isNull()).alias("missing"), F.count("claim_checkworthiness").alias("given"), F.count_if("evidence_available").alias("with_evidence"))
-
-
-@query("funnel_nested", f"""with {G}, {E}, u as (select claim_id, bool_or(({PROBLEM}) is null) as usable, bool_or(x.stance ilike '%refute%') as challenged from e group by 1)
-select count(*) as claims, count_if(human_label = 'NON_FACTUAL') as wrong, count_if(human_label = 'NON_FACTUAL' and usable) as usable, count_if(human_label = 'NON_FACTUAL' and usable and challenged) as challenged from g left join u using (claim_id)""")
-def _funnel(s, d):
-    u = evidence(s, d).groupBy("claim_id").agg(F.bool_or(T.evidence_problem(F.col("x.text")).isNull()).alias("usable"), F.bool_or(F.lower("x.stance").contains("refute")).alias("challenged"))
-    wrong = F.col("human_label") == "NON_FACTUAL"
-    rows = claims(s, d).join(u, "claim_id", "left")
-    return rows.agg(F.count("*").alias("claims"), F.count_if(wrong).alias("wrong"), F.count_if(wrong & F.col("usable")).alias("usable"), F.count_if(wrong & F.col("usable") & F.col("challenged")).alias("challenged"))
-
-
 @query("coverage_summary", f"with {G}, {RESULTS}, c as (select g.response_id, count(distinct g.claim_id) as claims, count(distinct r.claim_id) as judged from g left join r on g.claim_id = r.claim_id and r.status = 'ok' group by 1) select response_id, claims, judged, round(judged / claims, 6) as coverage from c")
 def _coverage(s, d):
     ok = results(s, d).where("status = 'ok'").select("claim_id").distinct().withColumn("judged_id", F.col("claim_id"))
@@ -162,11 +147,6 @@ def _artifact(s, d):
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("ok"), F.bool_and(F.col("status") == "ok").alias("complete"))
 
 
-@query("taxonomy", f"with {RESULTS} select coalesce(error, 'none') as category, count(*) as n, min(result_id) as first_id from r group by 1")
-def _taxonomy(s, d):
-    return results(s, d).groupBy(F.coalesce("error", F.lit("none")).alias("category")).agg(F.count("*").alias("n"), F.min("result_id").alias("first_id"))
-
-
 @query("stage_effects", f"with {RESULTS}, m as (select setting, round(avg(case when status = 'ok' then 1.0 else 0.0 end), 6) as ok_rate from r group by 1) select a.setting as one, b.setting as other, round(b.ok_rate - a.ok_rate, 6) as difference from m a join m b on a.setting < b.setting")
 def _effects(s, d):
     m = results(s, d).groupBy("setting").agg(F.round(F.avg(F.when(F.col("status") == "ok", 1.0).otherwise(0.0)), 6).alias("ok_rate"))
