@@ -35,13 +35,12 @@ def rows(spark, name):
     return entry.queries()[name](spark, str(DATA)).collect()
 
 
-def test_top_and_hybrid(spark, plain):
+def test_top(spark, plain):
     order, _ = plain
     got = defaultdict(dict)
     for r in rows(spark, "rrf_topk"):
         got[r["query_id"]][r["rank"]] = r["vec_id"]
     assert {q: [v for _, v in sorted(x.items())] for q, x in got.items()} == {q: x[:10] for q, x in order.items()}
-    assert {r["query_id"]: (r["n"], r["ids"]) for r in rows(spark, "hybrid_topk")} == {q: (5, sum(x[:5])) for q, x in order.items()}
 
 
 def test_evaluation(spark, plain):

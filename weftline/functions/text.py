@@ -134,10 +134,9 @@ def status_class(c: Column) -> Column:
     """Class of an HTTP status."""
     return (
         F.when(c.between(200, 299), "success")
-        .when(c == 404, "not_found")
-        .when(c == 403, "forbidden")
-        .when(c == 429, "rate_limited")
-        .when(c.isin(401, 402, 407), "auth_or_payment_required")
-        .when((c == 451) | (c >= 500), "unavailable")
+        .when(c.isin(404, 403, 429), F.concat(F.lit("http_"), c.cast("string")))
+        .when(c.isin(401, 407), "authentication_required")
+        .when(c.isin(402, 451), "access_restricted")
+        .when(c.between(500, 599), "server_error")
         .otherwise("http_error")
     )

@@ -25,13 +25,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def first_state(seed: int) -> int:
+    """The state that a seed begins with."""
+    return int(_mix(np.array([seed % 2**64], np.uint64) + _STEP)[0])
+
+
 def places(seed: int, replicate: int, size: int) -> Iterator[np.ndarray]:
     """The ``size`` places that a replicate draws among ``size``, in chunks.
 
     Draw ``n`` is number ``n`` of the stream whose state is mixed from seed and replicate: all 64 bits of it,
     modulo the size, so every place can be drawn and neither draws nor replicates are an affine walk.
     """
-    state = _mix(_mix(np.array([seed % 2**64], np.uint64) + _STEP) + np.array([replicate + 1], np.uint64) * _STEP)
+    state = _mix(np.array([first_state(seed)], np.uint64) + np.array([replicate + 1], np.uint64) * _STEP)
     for start in range(0, size, CHUNK):
         n = np.arange(start + 1, min(size, start + CHUNK) + 1, dtype=np.uint64)
         yield (_mix(state + n * _STEP) % np.uint64(size)).astype(np.int64)

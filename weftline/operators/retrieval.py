@@ -125,3 +125,24 @@ def evaluate(run: DataFrame, qrels: DataFrame, query_key: str, key: str, k: int
         F.round(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0)), 6).alias("reciprocal_rank"),
         F.round(F.coalesce(F.col("dcg"), F.lit(0.0)) / F.col("ideal"), 6).alias("ndcg"),
     )
+
+
+def evaluate_labels(run: DataFrame, labels: DataFrame, query_key: str, key: str, label: str, k: int = 10) -> DataFrame:
+    """As ``evaluate`` where all other rows of a query's label are relevant: the best ranking follows from how many there are.
+
+    ``labels`` has a row per key; queries are the keys that ``run`` ranks for. No list of relevant pairs is built.
+    """
+    sizes = labels.groupBy(label).agg((F.count("*") - 1).alias("relevant"))
+    queries = run.select(query_key).distinct().join(labels.withColumnRenamed(key, query_key), query_key).join(sizes, label)
+    gain = 1 / F.log2(F.col("rank") + 1)
+    top = run.where(F.col("rank") <= k).join(labels, key).withColumnRenamed(label, "_label")
+    hits = top.join(queries, query_key).where(F.col("_label") == F.col(label)).groupBy(query_key).agg(F.min("rank").alias("first_rank"), F.sum(gain).alias("dcg"))
+    steps = F.sequence(F.lit(1), F.least(F.lit(k), F.col("relevant")).cast("int"))
+    ideal = F.aggregate(steps, F.lit(0.0), lambda total, i: total + 1 / F.log2(i + 1))
+    out = queries.where("relevant > 0").join(hits, query_key, "left")
+    return out.select(
+        query_key,
+        "first_rank",
+        F.round(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0)), 6).alias("reciprocal_rank"),
+        F.round(F.coalesce(F.col("dcg"), F.lit(0.0)) / ideal, 6).alias("ndcg"),
+    )

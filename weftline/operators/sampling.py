@@ -21,7 +21,8 @@ def stratified(df: DataFrame, key: str, stratum: str, total: int, seed: str) ->
     wanted = sizes.select(stratum, quota.alias("quota"))
     place = F.row_number().over(Window.partitionBy(stratum).orderBy("h", key))
     rows = df.select(stratum, key, hash_order(key, stratum, seed).alias("h")).withColumn("place", place)
-    return rows.join(wanted, stratum).where("place <= quota").select(stratum, key, "place")
+    # No quota is above the total, so each stratum is cut to that many rows per task before it is sorted as a whole.
+    return rows.where(F.col("place") <= max(1, total)).join(wanted, stratum).where("place <= quota").select(stratum, key, "place")
 
 
 def top_per_group(df: DataFrame, group: str, n: int, *order) -> DataFrame:

@@ -12,9 +12,8 @@ from weftline.operators import retrieval as R
 from weftline.operators import sampling as P
 from weftline.plans.catalog_claims import E, PROBLEM, evidence
 from weftline.plans.catalog_results import _VS, _F1K, _supported
-from weftline.plans.catalog_retrieval import _DENSE, _EVAL, _RRF, _dense_run, _fused, _qrels
-from weftline.plans.common import F_, G, R as RESULTS, TOKENS, claims, fetches, results, table
-from weftline.sources.io import guard_columns
+from weftline.plans.catalog_retrieval import _DENSE, _EVAL, _dense_run, _labels
+from weftline.plans.common import F_, G, R as RESULTS, TOKENS, claims, draws_sql, fetches, results, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -81,25 +80,13 @@ def _cohort(s, d):
     return claims(s, d).where("human_label in ('FACTUAL', 'NON_FACTUAL')").join(usable, "claim_id", "left_semi").select("claim_id")
 
 
-@query("flatten_nested", f"with {G} select response_id, sentence_id, claim_index_in_sentence as place, claim_id from g")
-def _flatten(s, d):
-    c = claims(s, d)
-    by_sentence = c.groupBy("response_id", "sentence_id").agg(F.collect_list(F.struct("claim_index_in_sentence", "claim_id")).alias("items"))
-    nested = by_sentence.groupBy("response_id").agg(F.map_from_entries(F.collect_list(F.struct("sentence_id", "items"))).alias("sentences"))
-    flat = nested.select("response_id", F.explode("sentences").alias("sentence_id", "items")).select("response_id", "sentence_id", F.explode("items").alias("i"))
-    return flat.select("response_id", "sentence_id", F.col("i.claim_index_in_sentence").alias("place"), F.col("i.claim_id").alias("claim_id"))
-
-
 @query("claim_ids", f"with {G} select claim_id, response_id || printf('_revised_c%03d', (row_number() over (partition by response_id order by claim_id))::int) as new_id from g")
 def _claim_ids(s, d):
-    place = F.row_number().over(Window.partitionBy("response_id").orderBy("claim_id"))
-    return claims(s, d).select("claim_id", F.concat("response_id", F.format_string("_revised_c%03d", place)).alias("new_id"))
-
-
-@query("question_units", "select response_id || '_q01' as question_id, length(original_question)::int as chars from response_manifest where original_question is not null")
-def _question_units(s, d):
-    rows = table(s, d, "response_manifest").where("original_question is not null")
-    return rows.select("response_id", F.posexplode(F.array("original_question")).alias("pos", "q")).select(F.concat("response_id", F.format_string("_q%02d", F.col("pos") + 1)).alias("question_id"), F.length("q").alias("chars"))
+    # Numbered by ranges of all claims, so that a response with a tenth of them is no single task.
+    rows = P.numbered(claims(s, d).select("response_id", "claim_id"), "n", "response_id", "claim_id")
+    first = rows.groupBy("response_id").agg(F.min("n").alias("begin"))
+    place = (F.col("n") - F.col("begin") + 1).cast("int")
+    return rows.join(first, "response_id").select("claim_id", F.concat("response_id", F.format_string("_revised_c%03d", place)).alias("new_id"))
 
 
 @query("zip_join", f"with {G}, a as (select claim_id, row_number() over (order by claim_id) as i from g), b as (select claim_id, row_number() over (order by claim_id desc) as i from g) select a.claim_id as one, b.claim_id as other from a join b using (i)")
@@ -128,12 +115,6 @@ def _coverage(s, d):
     return rows.withColumn("coverage", F.round(F.col("judged") / F.col("claims"), 6))
 
 
-@query("leak_guard", "select doc_id, length(coalesce(text, ''))::int as chars from documents")
-def _leak(s, d):
-    allowed = table(s, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
-    return guard_columns(allowed, {"doc_id", "chars"})
-
-
 @query("corpus_summary", "select kind, count(*) as n, count(nullif(text, '')) as with_text, count(distinct source) as sources, sum(length(text))::bigint as chars from documents group by kind")
 def _summary(s, d):
     text = F.when(F.col("text") != "", F.col("text"))
@@ -154,23 +135,15 @@ def _effects(s, d):
     return a.join(F.broadcast(b), F.col("one") < F.col("other")).select("one", "other", F.round(F.col("y") - F.col("x"), 6).alias("difference"))
 
 
-@query("hybrid_topk", f"{_DENSE}, {_RRF} select query_id, count(*) as n, sum(vec_id) as ids from rr where rank <= 5 group by 1")
-def _hybrid(s, d):
-    return _fused(s, d, 5).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
-
-
-_RDRAWS = "pl as (select label, row_number() over (order by label) - 1 as place, count(*) over () as size from (select distinct label from cl)), dr as (select n // size as replicate, ((((((n + 42) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536) % size as place from (select unnest(range(0, 200 * (select max(size) from pl)::bigint)) as n), (select max(size)::bigint as size from pl)), wt as (select replicate, label, count(*) as times from dr join pl using (place) group by 1, 2)"
-
-
-@query("retrieval_ci", f"{_DENSE}, {_EVAL.format(run='ra', x='')}, cl as (select label, count(*) as n, sum(case when first_rank <= 5 then 1 else 0 end) as hits from ev join (select vec_id as query_id, label from e) using (query_id) group by 1), {_RDRAWS}, rp as (select replicate, sum(times * hits) / sum(times * n) as v from wt join cl using (label) group by 1) select count(v) as replicates, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from rp where v is not null")
+@query("retrieval_ci", f"{_DENSE}, {_EVAL.format(run='ra', x='')}, cl as (select label, count(*) as n, sum(case when first_rank <= 5 then 1 else 0 end) as hits from ev join (select vec_id as query_id, label from e) using (query_id) group by 1), {draws_sql('label', 42, 5_000)}, rp as (select replicate, sum(times * hits) / sum(times * n) as v from wt join cl using (label) group by 1) select count(v) as replicates, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from rp where v is not null")
 def _retrieval_ci(s, d):
-    ev = R.evaluate(_dense_run(s, d), _qrels(s, d), "query_id", "vec_id")
+    ev = R.evaluate_labels(_dense_run(s, d), _labels(s, d), "query_id", "vec_id", "label")
     labels = table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
     cl = ev.join(labels, "query_id").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("first_rank") <= 5).alias("hits"))
     return B.resampled(cl, "label", [], F.try_divide(F.col("hits"), F.col("n")), ["hits", "n"], "v", 5_000, 42)
 
 
-@query("veriscore_bootstrap", f"{_VS}, k as (select response_id, setting, claims, supported, 9 as k from v), sc as (select response_id, setting, {_F1K} as f1 from k), cl as (select response_id as label, sum(case when setting = 'oracle_evidence' then f1 else 0 end) as a, count_if(setting = 'oracle_evidence') as n from sc group by 1), {_RDRAWS.replace('+ 42)', '+ 7)')}, rp as (select replicate, sum(times * a) / nullif(sum(times * n), 0) as v from wt join cl using (label) group by 1) select count(v) as replicates, round(quantile_cont(v, 0.025), 5) as low, round(quantile_cont(v, 0.975), 5) as high from rp where v is not null")
+@query("veriscore_bootstrap", f"{_VS}, k as (select response_id, setting, claims, supported, 9 as k from v), sc as (select response_id, setting, {_F1K} as f1 from k), cl as (select response_id as label, sum(case when setting = 'oracle_evidence' then f1 else 0 end) as a, count_if(setting = 'oracle_evidence') as n from sc group by 1), {draws_sql('label', 7, 10_000)}, rp as (select replicate, sum(times * a) / nullif(sum(times * n), 0) as v from wt join cl using (label) group by 1) select count(v) as replicates, round(quantile_cont(v, 0.025), 5) as low, round(quantile_cont(v, 0.975), 5) as high from rp where v is not null")
 def _veriscore_bootstrap(s, d):
     sc = P.f1_at_k(_supported(s, d).withColumn("k", F.lit(9)), "claims", "supported", "k")
     mine = F.col("setting") == "oracle_evidence"

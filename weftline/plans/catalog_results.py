@@ -8,13 +8,11 @@ from weftline.operators import bootstrap as B
 from weftline.operators import metrics as M
 from weftline.operators import sampling as P
 from weftline.operators import verdicts as V
-from weftline.plans.common import COUNTS, F1, G, R, STATE, claims, results, table
+from weftline.plans.common import COUNTS, F1, G, R, STATE, claims, draws_sql, results, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-SEED, SAMPLES = 20260722, 200
-#: Replicates of the full job; SAMPLES are those of the SQL, which has fewer.
-REPLICATES = 10_000
+SEED, REPLICATES = 20260722, 10_000
 
 
 def query(name: str, sql: str | None = None):
@@ -160,9 +158,7 @@ def _percentile(s, d):
     return rows.agg(F.round(F.percentile("confidence", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("confidence", F.lit(0.975)), 6).alias("high"))
 
 
-_DRAWS = f"""pl as (select response_id, row_number() over (order by response_id) - 1 as place, count(*) over () as size from (select distinct response_id from cn)),
-dr as (select n // size as replicate, ((((((n + {SEED}) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536) % size as place from (select unnest(range(0, {SAMPLES} * (select max(size) from pl)::bigint)) as n), (select max(size)::bigint as size from pl)),
-wt as (select replicate, response_id, count(*) as times from dr join pl using (place) group by 1, 2)"""
+_DRAWS = f"cl as (select * from cn), {draws_sql('response_id', SEED, REPLICATES)}"
 
 
 @query("bootstrap_ci", f"{BASE}, {COUNTS.format(by='setting, response_id')}, {_DRAWS}, rp as (select replicate, setting, sum(times * correct) / nullif(sum(times * total), 0) as v from wt join cn using (response_id) group by 1, 2) select setting, count(v) as replicates, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from rp where v is not null group by 1")

@@ -78,11 +78,11 @@ def _dense(s, d):
     return _dense_run(s, d).select("query_id", "vec_id", "rank")
 
 
-_RRF = "u as (select query_id, vec_id, rank from ra where rank <= 10 union all select query_id, vec_id, rank from rb where rank <= 10), f as (select query_id, vec_id, round(sum(1.0 / (60 + rank)), 9) as score from u group by 1, 2), rr as (select query_id, vec_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from f)"
+_RRF = "u as (select query_id, vec_id, rank from ra where rank <= 100 union all select query_id, vec_id, rank from rb where rank <= 100), f as (select query_id, vec_id, round(sum(1.0 / (60 + rank)), 9) as score from u group by 1, 2), rr as (select query_id, vec_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from f)"
 
 
 def _fused(s, d, k: int = 10):
-    """The ``k`` best of both dense runs, fused to the surveyed depth; the SQL cuts both runs at rank 10 before."""
+    """The ``k`` best of both dense runs, fused to the surveyed depth."""
     return R.fuse([_dense_run(s, d, k=DEPTH), _dense_run(s, d, True, DEPTH)], "query_id", "vec_id", k, DEPTH)
 
 
@@ -91,10 +91,8 @@ def _rrf(s, d):
     return _fused(s, d).select("query_id", "vec_id", "rank")
 
 
-def _qrels(s, d):
-    e = table(s, d, "embeddings").select("vec_id", "label")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return q.join(e, "label").where("query_id <> vec_id").select("query_id", "vec_id", F.lit(1).alias("relevance"))
+def _labels(s, d):
+    return table(s, d, "embeddings").select("vec_id", "label")
 
 
 _EVAL = """qr{x} as (select q.vec_id as query_id, b.vec_id from e q join e b on q.label = b.label and q.vec_id % 20 = 0 and q.vec_id <> b.vec_id),
@@ -105,12 +103,12 @@ ev{x} as (select query_id, first_rank, round(coalesce(1.0 / first_rank, 0), 6) a
 
 @query("retrieval_eval", f"{_DENSE}, {_EVAL.format(run='ra', x='')} select * from ev")
 def _eval(s, d):
-    return R.evaluate(_dense_run(s, d), _qrels(s, d), "query_id", "vec_id")
+    return R.evaluate_labels(_dense_run(s, d), _labels(s, d), "query_id", "vec_id", "label")
 
 
 @query("ndcg", f"{_DENSE}, {_RRF}, {_EVAL.format(run='rr', x='')} select query_id, ndcg from ev")
 def _ndcg(s, d):
-    return R.evaluate(_fused(s, d), _qrels(s, d), "query_id", "vec_id").select("query_id", "ndcg")
+    return R.evaluate_labels(_fused(s, d), _labels(s, d), "query_id", "vec_id", "label").select("query_id", "ndcg")
 
 
 _MEANS = "count(*) as queries, round(avg(reciprocal_rank), 6) as mrr, round(avg(case when first_rank <= 5 then 1.0 else 0.0 end), 6) as recall_5"
@@ -118,9 +116,9 @@ _MEANS = "count(*) as queries, round(avg(reciprocal_rank), 6) as mrr, round(avg(
 
 @query("retriever_compare", f"{_DENSE}, {_RRF}, {_EVAL.format(run='ra', x='')}, {_EVAL.format(run='rr', x='2')} select 'dense' as retriever, {_MEANS} from ev union all select 'fused', {_MEANS} from ev2")
 def _compare(s, d):
-    qrels = _qrels(s, d)
+    labels = _labels(s, d)
     runs = {"dense": _dense_run(s, d), "fused": _fused(s, d)}
-    out = [R.evaluate(run, qrels, "query_id", "vec_id").withColumn("retriever", F.lit(n)) for n, run in runs.items()]
+    out = [R.evaluate_labels(run, labels, "query_id", "vec_id", "label").withColumn("retriever", F.lit(n)) for n, run in runs.items()]
     rows = Q.union_all(*out).groupBy("retriever")
     hit = F.when(F.col("first_rank") <= 5, 1.0).otherwise(0.0)
     return rows.agg(F.count("*").alias("queries"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg(hit), 6).alias("recall_5"))
@@ -131,9 +129,34 @@ def _ranks(s, d):
     return Q.broken_ranks(_dense_run(s, d), "query_id")
 
 
-@query("embed_resume", "select vec_id from embeddings where vec_id not in (select vec_id from embeddings where label = 0)")
-def _resume(s, d):
-    e = table(s, d, "embeddings")
-    return e.join(e.where("label = 0").select("vec_id"), "vec_id", "left_anti").select("vec_id")
 
+_WIDE = 64
+_ITEMS = f"""{_BM25}, hd as (select k, b, sum(n)::double as w from (select 'd' || doc_id as k, ('0x' || substr(md5(term), 1, 4))::int % {_WIDE} as b, count(*) as n from (select doc_id, unnest(w) as term from p) group by 1, 2 union all
+ select 'q' || item_id, ('0x' || substr(md5(term), 1, 4))::int % {_WIDE}, sum(qf) from q group by 1, 2) group by 1, 2), hn as (select k, sqrt(sum(w * w)) as norm from hd group by 1),
+hs as (select x.k as qk, y.k as dk, round(sum(x.w / nx.norm * (y.w / ny.norm)), 6) as score from hd x join hn nx on nx.k = x.k join hd y on y.b = x.b join hn ny on ny.k = y.k where x.k like 'q%' and y.k like 'd%' group by 1, 2),
+rd as (select substr(qk, 2)::bigint as item_id, substr(dk, 2)::bigint as doc_id, row_number() over (partition by qk order by score desc, substr(dk, 2)::bigint)::int as rank from hs),
+hu as (select item_id, doc_id, rank from rk where rank <= 100 union all select item_id, doc_id, rank from rd where rank <= 100), hf as (select item_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score from hu group by 1, 2),
+hr as (select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from hf)"""
 
+
+def hashed_vectors(rows, key: str, text: str):
+    """(key, vector): words counted in ``_WIDE`` places by their digest, a stand-in for an embedding model; texts without words have none."""
+    words = rows.select(F.col(key).alias("k"), F.explode(T.tokens(F.col(text))).alias("term"))
+    place = (F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int") % _WIDE).alias("place")
+    counts = words.groupBy("k", place).agg(F.count("*").alias("n"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(_WIDE - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double"))
+    maps = counts.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"))
+    return maps.select(F.col("k").alias(key), vector.alias("v"))
+
+
+def _hybrid_run(s, d, k=10):
+    """Items against documents: BM25 and dense runs to the surveyed depth, fused."""
+    docs, items = table(s, d, "documents"), table(s, d, "heldout_item")
+    lexical = _items_run(s, d, DEPTH).select("item_id", "doc_id", "rank")
+    near = R.dense(hashed_vectors(docs, "doc_id", "text"), "doc_id", "v", hashed_vectors(items, "item_id", "text"), "item_id", "v", DEPTH)
+    return R.fuse([lexical, near.select("item_id", "doc_id", "rank")], "item_id", "doc_id", k, DEPTH)
+
+
+@query("hybrid_topk", f"{_ITEMS} select item_id, doc_id, rank from hr where rank <= 10")
+def _hybrid(s, d):
+    return _hybrid_run(s, d).select("item_id", "doc_id", "rank")

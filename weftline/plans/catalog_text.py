@@ -86,7 +86,8 @@ def _overlap(s, d):
     return rows.select("claim_id", shared.alias("shared"), F.round(shared / F.size("a"), 6).alias("recall"))
 
 
-@query("bounded_text")
+@query("bounded_text", r"""with c as (select doc_id, trim(regexp_replace(text, '[ \t\n\r\f\x{A0}]+', ' ', 'g')) as s from documents where text is not null), h as (select *, substr(s, 1, 359) as head from c), p as (select *, instr(reverse(head), ' ') as q from h)
+select doc_id, case when length(s) <= 360 then s when q > 0 and 360 - q - 1 >= 180 then rtrim(substr(head, 1, 360 - q - 1), ' ') || '…' else head || '…' end as text from p""")
 def _bounded(s, d):
     return docs(s, d).where("text is not null").select("doc_id", T.bounded_text(F.col("text"), 360).alias("text"))
 
@@ -109,7 +110,8 @@ def _domain(s, d):
     return fetches(s, d).groupBy(T.url_host(F.col("requested_url")).alias("domain")).agg(F.count("*").alias("n"))
 
 
-@query("url_origin")
+@query("url_origin", f"""with {F_}, p as (select lower(regexp_extract(requested_url, '^([A-Za-z][A-Za-z0-9+.\\-]*)://', 1)) as sc, {HOST.format('requested_url')} as h, regexp_extract(requested_url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?[^/?#:]+:(\\d+)', 1) as po from f)
+select case when h is not null then sc || '://' || h || ':' || case when po <> '' then po when sc = 'https' then '443' else '80' end end as origin, count(*) as n from p group by 1""")
 def _origin(s, d):
     return fetches(s, d).groupBy(T.url_origin(F.col("requested_url")).alias("origin")).agg(F.count("*").alias("n"))
 
@@ -130,8 +132,8 @@ def _extract_url(s, d):
     return rows.agg(F.count("*").alias("n"), F.count("u").alias("with_url"), F.count_distinct("u").alias("urls"))
 
 
-@query("status_class", f"""with {F_} select case when status_code between 200 and 299 then 'success' when status_code = 404 then 'not_found' when status_code = 403 then 'forbidden' when status_code = 429 then 'rate_limited'
-when status_code in (401, 402, 407) then 'auth_or_payment_required' when status_code = 451 or status_code >= 500 then 'unavailable' else 'http_error' end as class, count(*) as n from f group by 1""")
+@query("status_class", f"""with {F_} select case when status_code between 200 and 299 then 'success' when status_code in (403, 404, 429) then 'http_' || status_code when status_code in (401, 407) then 'authentication_required'
+when status_code in (402, 451) then 'access_restricted' when status_code between 500 and 599 then 'server_error' else 'http_error' end as class, count(*) as n from f group by 1""")
 def _status(s, d):
     return fetches(s, d).groupBy(T.status_class(F.col("status_code")).alias("class")).agg(F.count("*").alias("n"))
 

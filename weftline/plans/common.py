@@ -45,3 +45,38 @@ COUNTS = """cn as (select {by}, count(*) as total, count_if(state = 'correct') a
 F1 = "case when tp_{c} + fn_{c} = 0 then null when tp_{c} = 0 then 0.0 else 2.0 * tp_{c} / (2.0 * tp_{c} + fp_{c} + fn_{c}) end"
 TOKENS = "regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
 HOST = "nullif(lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '')"
+
+
+def _times(x: str, c: int) -> str:
+    """SQL of the product of a 64-bit value and a constant, modulo 2**64, from products of halves."""
+    low, high, m = c & 0xFFFFFFFF, c >> 32, "4294967295::ubigint"
+    upper = f"(((({x} & {m}) * {low}::ubigint) >> 32) + ((({x} >> 32) * {low}::ubigint) & {m}) + ((({x} & {m}) * {high}::ubigint) & {m})) & {m}"
+    return f"(({upper}) * 4294967296::ubigint + ((({x} & {m}) * {low}::ubigint) & {m}))"
+
+
+def _plus(a: str, b: str) -> str:
+    """SQL of a sum modulo 2**64."""
+    m = "4294967295::ubigint"
+    return f"((((({a}) >> 32) + (({b}) >> 32) + (((({a}) & {m}) + (({b}) & {m})) >> 32)) & {m}) * 4294967296::ubigint + (((({a}) & {m}) + (({b}) & {m})) & {m}))"
+
+
+def _mixed(source: str, keep: str) -> str:
+    """SQL of a table with x mixed, from one with x; ``keep`` are its other columns."""
+    one = f"select {keep}, xor(x, x >> 30) as x from ({source})"
+    two = f"select {keep}, {_times('x', 0xBF58476D1CE4E5B9)} as x from ({one})"
+    three = f"select {keep}, xor(x, x >> 27) as x from ({two})"
+    four = f"select {keep}, {_times('x', 0x94D049BB133111EB)} as x from ({three})"
+    return f"select {keep}, xor(x, x >> 31) as x from ({four})"
+
+
+def draws_sql(key: str, seed: int, samples: int) -> str:
+    """CTEs down to wt (replicate, key, times): how often each cluster of cn is drawn, as ``operators.bootstrap.places`` draws."""
+    from weftline.operators.bootstrap import first_state
+
+    step = 0x9E3779B97F4A7C15
+    start = f"{first_state(seed)}::ubigint"
+    states = _mixed(f"select r as replicate, {_plus(start, 'y')} as x from (select r, {_times('(r + 1)', step)} as y from (select unnest(range(0, {samples}))::ubigint as r))", "replicate")
+    drawn = _mixed(f"select replicate, {_plus('x', 'y')} as x from ({states}) cross join (select {_times('n', step)} as y from (select unnest(range(1, (select max(size) from pl)::bigint + 1))::ubigint as n))", "replicate")
+    return f"""pl as (select {key}, row_number() over (order by {key}) - 1 as place, count(*) over () as size from (select distinct {key} from cl)),
+dr as (select replicate::bigint as replicate, (x % (select max(size) from pl)::ubigint)::bigint as place from ({drawn})),
+wt as (select replicate, {key}, count(*) as times from dr join pl using (place) group by 1, 2)"""
