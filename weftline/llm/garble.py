@@ -13,9 +13,11 @@ words become clearly likelier, under the letter pairs of the clean words, by app
 
 from __future__ import annotations
 
+import codecs
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -30,6 +32,8 @@ from weftline.session import cut_lineage
 #: Charsets whose bytes are tried as UTF-8, and single-byte charsets that are tried against each other.
 AS_UTF8 = ("cp1252", "latin-1", "cp1251", "mac_roman", "koi8-r", "cp1250", "cp437")
 SINGLE = ("cp1252", "latin-1", "cp1251", "koi8-r", "cp866", "cp1250", "mac_roman")
+CHARSETS = tuple(dict.fromkeys(AS_UTF8 + SINGLE))
+WAYS = [(a, "utf-8") for a in AS_UTF8] + [(a, b) for a in SINGLE for b in SINGLE if a != b]
 #: Twins that a pair of charsets must explain, and the share of them whose clean form is in more texts.
 MIN_UTF8, MIN_SINGLE, CLEAN_SHARE = 3, 5, 0.8
 #: Texts in which a character must stand to be known.
@@ -57,47 +61,45 @@ class Mapping(NamedTuple):
 
 
 @lru_cache(maxsize=32)
-def _tables(charset: str) -> tuple[dict[int, int], list[str]]:
-    """Code point -> byte and byte -> character; bytes without a character stand for themselves."""
+def _table(charset: str) -> tuple[str, object]:
+    """Character of each byte, and the map back; bytes without a character stand for themselves."""
     back = []
     for b in range(256):
         try:
             back.append(bytes([b]).decode(charset))
         except UnicodeDecodeError:
             back.append(chr(b))
-    return {ord(c): b for b, c in enumerate(back)}, back
+    return "".join(back), codecs.charmap_build("".join(back))
+
+
+def _written(text: str, charset: str) -> bytes | None:
+    """``text`` in a charset; None where a character is missing. ASCII stays as it is."""
+    try:
+        return codecs.charmap_encode(text, "strict", _table(charset)[1])[0]
+    except UnicodeEncodeError:
+        return None
+
+
+def _as_read(data: bytes, charset: str) -> str | None:
+    """Bytes read in a charset; None where they are none of it."""
+    if charset != "utf-8":
+        return codecs.charmap_decode(data, "strict", _table(charset)[0])[0]
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
 
 
 def rewrite(run: str, written: str, read: str) -> str | None:
     """``run`` written in one charset and read in another; None where that is not possible."""
-    table = _tables(written)[0]
-    out = bytearray()
-    for c in run:
-        b = table.get(ord(c))
-        if b is None or b < 0x80:
-            return None
-        out.append(b)
-    if read == "utf-8":
-        try:
-            return out.decode("utf-8")
-        except UnicodeDecodeError:
-            return None
-    back = _tables(read)[1]
-    return "".join(back[b] for b in out)
+    data = _written(run, written)
+    return None if data is None else _as_read(data, read)
 
 
 def rewrite_word(word: str, written: str, read: str) -> str | None:
-    """``rewrite`` applied to every non-ASCII run of a word."""
-    failed = False
-
-    def sub(m: re.Match) -> str:
-        nonlocal failed
-        new = rewrite(m.group(), written, read)
-        failed |= new is None
-        return new or ""
-
-    out = _RUN.sub(sub, word)
-    return None if failed or out == word else out
+    """``rewrite`` of a word with ASCII in it; None where nothing changes."""
+    out = rewrite(word, written, read)
+    return None if out == word else out
 
 
 def _texts(df: DataFrame, key: str, body: str, charset: Column) -> DataFrame:
@@ -109,57 +111,80 @@ def shown(body: bytes, charset: str | None) -> str:
     return html.unescape(declared_text(body, charset))
 
 
-def _words_of(text: str) -> Iterator[str]:
-    """Words with a non-ASCII character; long runs, as of scripts without spaces, whole and in their parts."""
+def _words_of(text: str) -> Iterator[tuple[str, bool]]:
+    """Words with a non-ASCII character; long runs, as of scripts without spaces, in their parts and (marked) whole."""
     for word in _WORD.findall(text):
-        yield word
         if len(word) > WORD_CHARS:
-            yield from (w for part in _INNER.split(word) for w in _WORD.findall(part))
+            parts = [w for part in _INNER.split(word) for w in _WORD.findall(part)]
+            yield from ((w, False) for w in parts)
+            if parts == [word]:
+                continue
+        yield word, len(word) > WORD_CHARS
 
 
 def _words(rows: DataFrame) -> DataFrame:
-    """(word, texts): every word with a non-ASCII character and the number of texts it is in."""
+    """(w, word, run, texts): every word with a non-ASCII character, its hash, whether it is a divided run, and the number of texts it is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[str] = []
+            out: list[tuple[str, bool]] = []
             for b, c in zip(batch.column(1), batch.column(2)):
                 text = shown(b.as_py(), c.as_py())
                 if not text.isascii():
                     out.extend(set(_words_of(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["word"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([r for _, r in out], pa.bool_())], ["word", "run"])
 
-    return rows.mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("texts"))
+    counted = rows.mapInArrow(run, "word string, run boolean").groupBy("word", "run").agg(F.count("*").alias("texts"))
+    return counted.select(F.xxhash64("word").alias("w"), "word", "run", "texts")
 
 
 def _rewritten(words: DataFrame) -> DataFrame:
-    """(word, texts, way, clean): every word under every pair of charsets that is possible for it."""
-    ways = [(a, "utf-8") for a in AS_UTF8] + [(a, b) for a in SINGLE for b in SINGLE if a != b]
+    """(w, texts, way, clean): every word under every pair of charsets that is possible for it; divided runs as UTF-8 only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, way, clean = [], [], []
-            for i, word in enumerate(batch.column(0).to_pylist()):
+            for i, (word, divided) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 if len(word) < 3:
                     continue
-                for n, (a, b) in enumerate(ways):
-                    new = rewrite_word(word, a, b)
-                    if new is None or _LOST.search(new):
+                data = {a: _written(word, a) for a in (AS_UTF8 if divided else CHARSETS)}
+                for n, (a, b) in enumerate(WAYS):
+                    raw = data.get(a)
+                    new = _as_read(raw, b) if raw is not None else None
+                    if new is None or new == word or _LOST.search(new):
                         continue
-                    for part in {new} if len(new) <= WORD_CHARS else set(_words_of(new)):
+                    for part in {new} if len(new) <= WORD_CHARS else {p for p, whole in _words_of(new) if not whole}:
                         index.append(i)
                         way.append(n)
                         clean.append(part)
             take = pa.array(index, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(way, pa.int32()), pa.array(clean, pa.string())],
-                ["word", "texts", "way", "clean"],
+                [batch.column(0).take(take), batch.column(3).take(take), pa.array(way, pa.int32()), pa.array(clean, pa.string())],
+                ["w", "texts", "way", "clean"],
             )
 
     # A small checkpoint may be one partition, but each row costs some fifty conversions.
     n, cores = words.count(), words.sparkSession.sparkContext.defaultParallelism
     parts = max(min(2 * cores, n // 500 + 1), n // 200_000 + 1)
-    return words.repartition(parts, "word").mapInArrow(run, "word string, texts bigint, way int, clean string")
+    return words.repartition(parts, "w").mapInArrow(run, "w bigint, texts bigint, way int, clean string")
+
+
+def _characters(words: DataFrame) -> DataFrame:
+    """(c, n): every character beyond ASCII and the texts that it is in, as far as words tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for word, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if texts == 1:
+                    counts.update(word)
+                else:
+                    for c in word:
+                        counts[c] += texts
+        rows = [(c, n) for c, n in counts.items() if c > "\x7f"]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["c", "n"])
+
+    return words.select("word", "texts").mapInArrow(run, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
 
 
 def learn(df: DataFrame, key: str, body: str, charset: Column) -> Mapping:
@@ -167,33 +192,32 @@ def learn(df: DataFrame, key: str, body: str, charset: Column) -> Mapping:
     of characters in Unicode, and of pairs of letters below ``LETTERS_BELOW``.
     """
     words = cut_lineage(_words(_texts(df, key, body, charset)))
-    twins = words.select(F.col("word").alias("clean"), F.col("texts").alias("clean_texts"))
-    twins = cut_lineage(_rewritten(words).join(twins, "clean"))
-    ways = [(a, "utf-8") for a in AS_UTF8] + [(a, b) for a in SINGLE for b in SINGLE if a != b]
+    known = words.where(~F.col("run"))
+    twins = known.select(F.col("w").alias("c"), F.col("word").alias("clean"), F.col("texts").alias("clean_texts"))
+    twins = cut_lineage(_rewritten(words).join(twins, "clean").drop("clean"))
+    ways = WAYS
 
     def support(found: DataFrame) -> list[tuple[str, str, int, int]]:
         better = F.count_if(F.col("clean_texts") > F.col("texts")).alias("better")
         return [(*ways[r["way"]], r["n"], r["better"]) for r in found.groupBy("way").agg(F.count("*").alias("n"), better).collect()]
 
     utf8 = [a for a, b, n, _ in support(twins.where(F.col("way") < len(AS_UTF8))) if n >= MIN_UTF8]
-    bad = twins.where(F.col("way").isin([n for n, (a, b) in enumerate(ways) if b == "utf-8" and a in utf8])).select("word").distinct()
+    bad = twins.where(F.col("way").isin([n for n, (a, b) in enumerate(ways) if b == "utf-8" and a in utf8])).select("w").distinct()
     # Words that are garbled UTF-8 are no twins of each other.
-    rest = twins.where(F.col("way") >= len(AS_UTF8)).join(bad, "word", "left_anti")
-    rest = rest.join(bad.withColumnRenamed("word", "clean"), "clean", "left_anti")
+    rest = twins.where(F.col("way") >= len(AS_UTF8)).join(bad, "w", "left_anti")
+    rest = rest.join(bad.withColumnRenamed("w", "c"), "c", "left_anti")
     single = [(a, b) for a, b, n, better in support(rest) if better >= MIN_SINGLE and better >= CLEAN_SHARE * n]
     chosen = [n for n, w in enumerate(ways) if w in single]
-    worse = rest.where(F.col("way").isin(chosen) & (F.col("clean_texts") > F.col("texts"))).select("word")
-    clean = words.join(bad.union(worse).distinct(), "word", "left_anti")
-    chars = clean.select(F.explode(F.split("word", "")).alias("c"), "texts").groupBy("c").agg(F.sum("texts").alias("n"))
-    chars = chars.where(f"n >= {MIN_KNOWN} and c != ''")
-    known = sorted(r["c"] for r in chars.collect() if ord(r["c"]) > 127)
+    worse = rest.where(F.col("way").isin(chosen) & (F.col("clean_texts") > F.col("texts"))).select("w")
+    clean = known.join(bad.union(worse).distinct(), "w", "left_anti")
+    chars = sorted(r["c"] for r in _characters(clean).where(f"n >= {MIN_KNOWN}").collect())
     pairs: dict[str, int] = {}
     if single:
         letter = f"^[\\x{{41}}-\\x{{5a}}\\x{{61}}-\\x{{7a}}\\x{{a0}}-\\x{{{LETTERS_BELOW - 1:x}}}^$]{{2}}$"
         marked = clean.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("m"), "texts")
         two = marked.select(F.expr("explode(transform(sequence(1, length(m) - 1), i -> substr(m, i, 2)))").alias("p"), "texts")
         pairs = {r["p"]: r["n"] for r in two.where(F.col("p").rlike(letter)).groupBy("p").agg(F.sum("texts").alias("n")).collect()}
-    return Mapping(sorted(utf8), sorted(single), known, pairs)
+    return Mapping(sorted(utf8), sorted(single), chars, pairs)
 
 
 def _trie(sequences: list[str]) -> re.Pattern:
@@ -224,7 +248,7 @@ class Finder:
         while known:  # the characters of garbled sequences are garbled again in turn; code pages are finite
             seen |= known
             for charset in mapping.utf8:
-                back = _tables(charset)[1]
+                back = _table(charset)[0]
                 for c in sorted(known):
                     self.clean_of.setdefault("".join(back[b] for b in c.encode("utf-8")), c)
             known = {c for g in self.clean_of for c in g if ord(c) > 127} - seen
