@@ -175,7 +175,9 @@ def _characters(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
-            for word, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for word, texts, divided in zip(*(c.to_pylist() for c in batch.columns)):
+                if divided:  # all but what divides it stands in its parts
+                    word = "".join(_INNER.findall(word))
                 if texts == 1:
                     counts.update(word)
                 else:
@@ -184,7 +186,7 @@ def _characters(words: DataFrame) -> DataFrame:
         rows = [(c, n) for c, n in counts.items() if c > "\x7f"]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["c", "n"])
 
-    return words.select("word", "texts").mapInArrow(run, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
+    return words.select("word", "texts", "run").mapInArrow(run, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
 
 
 def learn(df: DataFrame, key: str, body: str, charset: Column) -> Mapping:
@@ -209,12 +211,12 @@ def learn(df: DataFrame, key: str, body: str, charset: Column) -> Mapping:
     single = [(a, b) for a, b, n, better in support(rest) if better >= MIN_SINGLE and better >= CLEAN_SHARE * n]
     chosen = [n for n, w in enumerate(ways) if w in single]
     worse = rest.where(F.col("way").isin(chosen) & (F.col("clean_texts") > F.col("texts"))).select("w")
-    clean = known.join(bad.union(worse).distinct(), "w", "left_anti")
+    clean = words.join(bad.union(worse).distinct(), "w", "left_anti")
     chars = sorted(r["c"] for r in _characters(clean).where(f"n >= {MIN_KNOWN}").collect())
     pairs: dict[str, int] = {}
     if single:
         letter = f"^[\\x{{41}}-\\x{{5a}}\\x{{61}}-\\x{{7a}}\\x{{a0}}-\\x{{{LETTERS_BELOW - 1:x}}}^$]{{2}}$"
-        marked = clean.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("m"), "texts")
+        marked = clean.where(~F.col("run")).select(F.concat(F.lit("^"), "word", F.lit("$")).alias("m"), "texts")
         two = marked.select(F.expr("explode(transform(sequence(1, length(m) - 1), i -> substr(m, i, 2)))").alias("p"), "texts")
         pairs = {r["p"]: r["n"] for r in two.where(F.col("p").rlike(letter)).groupBy("p").agg(F.sum("texts").alias("n")).collect()}
     return Mapping(sorted(utf8), sorted(single), chars, pairs)
