@@ -313,23 +313,29 @@ class Matrix(NamedTuple):
     start: np.ndarray
 
 
+@lru_cache(maxsize=1 << 15)
+def _dense(shape: str, nothing: bool, state: str, tenths: int, much: bool, added: int, own: int, ours: str, theirs: str, given: str) -> list[int]:
+    """Places of the features of form, of prediction and of the pair; few combinations occur."""
+    pair = "same" if ours == theirs and ours else "unknown" if not ours or not theirs else "other"
+    row = [
+        f"shape {shape}", f"nothing {nothing}", f"nothing {nothing} {shape}", f"end {state}", f"end {state} {shape}", f"share {tenths}", f"added {added}",
+        f"share {much} added {min(added, 8)}", f"language {pair}", f"language {pair} {own}", f"language {pair} shape {shape}", f"language {pair} added {min(added, 6)}",
+        f"languages {ours} {theirs}", f"prediction {given} {shape}",
+    ]
+    # Pair features stand against dozens of n-grams; each has several places, so that it weighs as much.
+    row += [f"{name} {k}" for name in (f"languages are {pair}", f"copied {much and added <= FRAME_WORDS}", f"ends {state}", f"says nothing {nothing}") for k in range(PAIR_PLACES)]
+    return [_h(x) for x in row]
+
+
 def features(f: Facts, predictions: list[str | None]) -> Matrix:
     """Pair features, features of form and prediction, and n-grams; n-grams of a long answer count less each."""
     dense = []
+    given = ["none" if p is None else "unknown" if p.upper() == "UNKNOWN" else "given" for p in predictions]
+    tenths, much = (f.share * 10).astype(int).tolist(), (f.share > 0.85).tolist()
+    added, own = np.minimum(f.added, 12).tolist(), np.minimum(f.own, 4).tolist()
     for i, (a, end) in enumerate(zip(f.answers, f.endings)):
-        share, added, own = float(f.share[i]), int(f.added[i]), int(f.own[i])
-        ours, theirs, nothing, shape = f.ours[i], f.theirs[i], f.nothing[i], a.shape
-        pair = "same" if ours == theirs and ours else "unknown" if not ours or not theirs else "other"
-        given = predictions[i]
-        row = [
-            f"shape {shape}", f"nothing {nothing}", f"nothing {nothing} {shape}", f"end {end.state}", f"end {end.state} {shape}", f"last2 {end.key}", f"last {end.last}",
-            f"share {int(share * 10)}", f"added {min(added, 12)}", f"share {share > 0.85} added {min(added, 8)}", f"language {pair}", f"language {pair} {min(own, 4)}",
-            f"language {pair} shape {shape}", f"language {pair} added {min(added, 6)}", f"languages {ours} {theirs}",
-            f"prediction {'none' if given is None else 'unknown' if given.upper() == 'UNKNOWN' else 'given'} {shape}",
-        ]
-        # Pair features stand against dozens of n-grams; each has several places, so that it weighs as much.
-        row += [f"{name} {k}" for name in (f"languages are {pair}", f"copied {share > 0.85 and added <= FRAME_WORDS}", f"ends {end.state}", f"says nothing {nothing}") for k in range(PAIR_PLACES)]
-        dense.append([_h(x) for x in row])
+        places = _dense(a.shape, f.nothing[i], end.state, tenths[i], much[i], added[i], own[i], f.ours[i], f.theirs[i], given[i])
+        dense.append([*places, _h(f"last2 {end.key}"), _h(f"last {end.last}")])
     rows = len(dense)
     places = np.array(dense, np.int64).reshape(rows, -1 if rows else 0)
     owner, gram = f.grams
