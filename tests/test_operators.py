@@ -17,7 +17,7 @@ def test_html_and_json():
     title, blocks = D.read_html("<title>T</title><nav>menu</nav><h1>Head</h1><p>One <b>two</b> &amp; three<script>x</script><li>four</li><footer>f</footer>")
     assert title == "T" and blocks == [("Head", "Head"), ("Head", "One two & three"), ("Head", "four")]
     assert D.walk_json({"a": [1, {"b": "x"}], "c": None}) == ["a[0]: 1", "a[1].b: x"]
-    assert D.read_body(b"%PDF-1.4", None, "text/html")[0] == "unsupported"
+    assert D.read_body(b"%PDF-1.4", None, "text/html")[0] == "malformed"
     assert D.read_body(b"{", None, "application/json")[0] == "malformed"
     assert D.read_body(b"a\n\n b ", None, "text/plain")[2] == [("", "a"), ("", "b")]
 

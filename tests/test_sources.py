@@ -34,11 +34,16 @@ def test_writers(spark, tmp_path):
     assert io.read_or_empty(spark, str(tmp_path / "none"), df.schema).count() == 0
     io.write_tsv(df, str(tmp_path / "q"), ["l"])
     assert any("x;y" in p.read_text() for p in (tmp_path / "q").glob("*.csv"))
-    io.write_report(str(tmp_path / "r.json"), {"b": 1, "a": "ü"})
+    io.write_report(spark, str(tmp_path / "r.json"), {"b": 2})
+    io.write_report(spark, str(tmp_path / "r.json"), {"b": 1, "a": "ü"})
     assert (tmp_path / "r.json").read_text() == '{"a": "ü", "b": 1}'
     with pytest.raises(ValueError):
-        io.write_report(str(tmp_path / "r.json"), float("nan"))
-    assert [p.name for p in tmp_path.glob("tmp*")] == []
+        io.write_report(spark, str(tmp_path / "r.json"), float("nan"))
+    io.write_lines(spark, str(tmp_path / "l.jsonl"), [{"a": 1}, {"a": "é"}])
+    assert (tmp_path / "l.jsonl").read_text() == '{"a": 1}\n{"a": "é"}\n'
+    assert not [p.name for p in tmp_path.iterdir() if p.name.startswith((".r.json.", ".l.jsonl.")) and not p.name.endswith("json.crc") and not p.name.endswith("jsonl.crc")]
+    io.write_decimals(spark.createDataFrame([(1, 0.5)], "k int, x double"), str(tmp_path / "d"))
+    assert any("1,0.500000000000" in p.read_text() for p in (tmp_path / "d").glob("*.csv"))
     with pytest.raises(ValueError):
         io.guard_columns(df, {"id", "t"})
 
@@ -93,3 +98,72 @@ def test_windowed_rates_is_a_streaming_plan(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "s"))
     assert windowed_rates(stream, "recorded_at", "1 day", "1 hour", "model").isStreaming
+
+
+def test_results_are_appended_once(spark, tmp_path):
+    path = str(tmp_path / "r")
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], SCHEMA)
+    assert io.append_results(rows, path, {"id", "t"}, "id") == 2
+    assert io.append_results(spark.createDataFrame([(2, "b"), (3, "c")], SCHEMA), path, {"id", "t"}, "id") == 3
+    with pytest.raises(ValueError):
+        io.append_results(rows, path, {"id"}, "id")
+
+
+def test_lenient_and_nonempty_readers(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"id": 1, "t": "a"}\n{"id": 2, "t')
+    good, broken = io.read_results(spark, str(tmp_path / "x.jsonl"), SCHEMA)
+    assert [tuple(r) for r in good.collect()] == [(1, "a")] and broken.count() == 1
+    assert io.read_results(spark, str(tmp_path / "none.jsonl"), SCHEMA)[0].count() == 0
+    (tmp_path / "e.jsonl").write_text("")
+    for name in ("e.jsonl", "none.jsonl"):
+        with pytest.raises(Exception):
+            io.read_nonempty(spark, str(tmp_path / name), SCHEMA)
+
+
+def test_seals_and_paths(spark):
+    a = spark.createDataFrame([(1, "a"), (2, None)], SCHEMA)
+    seal = io.fingerprint(a, ["id", "t"])
+    assert io.fingerprint(a.orderBy("id", ascending=False).repartition(3), ["id", "t"]) == seal
+    assert io.check_seal(a, ["id", "t"], seal) is a
+    with pytest.raises(ValueError):
+        io.check_seal(a.union(a.limit(1)), ["id", "t"], seal)
+    assert io.inside("/a/b", "c/d") == "/a/b/c/d"
+    for bad in ("../x", "/a/bc", "c/../../x"):
+        with pytest.raises(ValueError):
+            io.inside("/a/b", bad)
+
+
+def test_safe_fetcher():
+    pages = {
+        "http://a.org/": (302, {"Location": "/b"}, []), "http://a.org/b": (200, {}, [b"ab", b"cd"]), "http://a.org/in": (301, {"Location": "http://10.0.0.1/"}, []),
+        "http://a.org/loop": (302, {"Location": "/loop"}, []), "http://private.org/": (200, {}, [b"x"]),
+    }
+    waits, busy = [], iter([429, 503, 200])
+
+    def transport(url, address):
+        assert address == "8.8.8.8"
+        return (next(busy), {"Retry-After": "3"}, [b"ok"]) if url == "http://a.org/busy" else pages[url]
+
+    client = C.safe_fetcher(transport, lambda host: ["10.1.1.1"] if host == "private.org" else ["8.8.8.8"], most_bytes=4, redirects=2, sleep=waits.append)
+    assert client("http://a.org/") == {"status_code": 200, "final_url": "http://a.org/b", "headers": {}, "body": b"abcd"}
+    assert client("http://a.org/busy")["body"] == b"ok" and waits == [3.0, 3.0]
+    pages["http://a.org/b"] = (200, {}, [b"ab", b"cde"])
+    for url, why in (("http://a.org/in", "unsafe_url:address"), ("http://a.org/loop", "too_many_redirects"), ("http://private.org", "unsafe_address"), ("http://a.org/b", "too_large"), ("file:///x", "unsafe_url:scheme")):
+        with pytest.raises(C.Refused, match=why):
+            client(url)
+
+
+def test_pages_and_pdf():
+    import zlib
+
+    from weftline.operators.documents import read_body
+
+    linked = '<html><title>T</title><script type="application/ld+json">{"@graph": [{"@type": "Article", "articleBody": "%s"}]}</script><p>Short.</p></html>' % ("A sentence of the article. " * 5)
+    status, title, blocks = read_body(linked.encode(), None, "text/html")
+    assert (status, title) == ("ok", "T") and blocks[0][1].startswith("A sentence")
+    assert read_body(b"<html><p>Nothing much</p></html>", None, "text/html")[0] == "too_little_content"
+    content = zlib.compress(b"BT /F1 12 Tf (Hello \\(world\\)) Tj T* [(spl) -20 (it)] TJ ET BT (\\351t\\351) Tj ET")
+    pdf = b"%PDF-1.4\n1 0 obj\n<< /Length 9 /Filter /FlateDecode >>\nstream\n" + content + b"\nendstream\nendobj\n%%EOF"
+    assert read_body(pdf, None, "text/html") == ("ok", "", [("", "Hello (world) split"), ("", "été")])
+    assert read_body(b"%PDF-1.4 junk", None, "application/pdf")[0] == "malformed" and read_body(b"x", None, "image/png")[0] == "unsupported"
+    assert read_body("größe".encode("cp1252"), None, "text/plain") == ("ok", "", [("", "größe")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
@@ -13,12 +14,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.http import declared_text
+from weftline.functions.safety import decode_cascade
 from weftline.session import cut_lineage
 
 #: Elements that never hold readable text, and those that open a block.
 _DROPPED = frozenset("script style noscript template svg nav footer aside form button".split())
 _BLOCKS = frozenset("p div li h1 h2 h3 h4 h5 h6 td th tr table ul ol section article main header blockquote pre br hr dd dt body".split())
+#: Pages with less text in both measures have no content; a linked article so many times as long replaces the blocks.
+LEAST_CHARS, LEAST_WORDS, MUCH_LONGER = 80, 10, 1.5
+#: Largest content stream of a PDF file that is read.
+PDF_BYTES = 1 << 26
+_LINKED = re.compile(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script", re.I | re.S)
+_STREAM = re.compile(rb"<<((?:[^<>]|<[^<]|>[^>])*)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
+_TEXT_OBJECT = re.compile(rb"\bBT\b(.*?)\bET\b", re.S)
+_SHOWN = re.compile(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[((?:[^\[\]()]|\((?:[^()\\]|\\.)*\))*)\]\s*TJ|(?:T\*|(?:Td|TD|Tm)\b)", re.S)
 _CHUNK_TOKEN = re.compile(r"\w+|[^\w\s]")
 _BOUNDARY = re.compile(r"\n\s*\n|(?<=[.!?。！？])\s+")
 
@@ -73,6 +82,80 @@ def read_html(page: str) -> tuple[str, list[tuple[str, str]]]:
     return " ".join(parser.title.split()), parser.blocks
 
 
+def article_of(page: str) -> tuple[str, str]:
+    """Headline and text of the first article that a page carries as linked data; empty without one."""
+    for m in _LINKED.finditer(page):
+        try:
+            todo = [json.loads(html.unescape(m[1]))]
+        except (ValueError, RecursionError):
+            continue
+        while todo:
+            value = todo.pop()
+            if isinstance(value, list):
+                todo += reversed(value)
+            elif isinstance(value, dict):
+                if isinstance(value.get("articleBody"), str) and value["articleBody"].strip():
+                    return str(value.get("headline") or ""), value["articleBody"]
+                todo += [v for v in value.values() if isinstance(v, (list, dict))]
+    return "", ""
+
+
+def read_page(page: str) -> tuple[str, str, list[tuple[str, str]]]:
+    """(status, title, blocks): the readable blocks, or the linked article where the blocks are few or it is much longer.
+
+    A page with hardly any text either way has too little content.
+    """
+    title, blocks = read_html(page)
+    size = sum(len(t) for _, t in blocks)
+    headline, article = article_of(page)
+    if article and (size < LEAST_CHARS or len(article) > MUCH_LONGER * size):
+        blocks = [("", " ".join(p.split())) for p in re.split(r"\n\s*\n", article) if p.strip()]
+        title = title or headline
+    text = " ".join(t for _, t in blocks)
+    if len(text) < LEAST_CHARS and len(text.split()) < LEAST_WORDS:
+        return "too_little_content", title, blocks
+    return "ok", title, blocks
+
+
+def read_pdf(body: bytes) -> list[str]:
+    """Text of the content streams of a PDF file, a block for each text object; empty where none can be read.
+
+    Plain and deflated streams with text shown in single-byte strings are understood; encrypted files and
+    fonts with maps of their own are not.
+    """
+    out: list[str] = []
+    for m in _STREAM.finditer(body):
+        data = m[2]
+        if b"FlateDecode" in m[1]:
+            try:
+                data = zlib.decompressobj().decompress(data, PDF_BYTES)
+            except zlib.error:
+                continue
+        for block in _TEXT_OBJECT.findall(data):
+            parts = []
+            for token in _SHOWN.finditer(block):
+                if token[1] is not None:
+                    parts.append(_pdf_string(token[1]))
+                elif token[2] is not None:
+                    parts.append("".join(_pdf_string(t) for t in re.findall(rb"\(((?:[^()\\]|\\.)*)\)", token[2], re.S)))
+                else:
+                    parts.append(" ")
+            text = " ".join("".join(parts).split())
+            if text:
+                out.append(text)
+    return out
+
+
+def _pdf_string(raw: bytes) -> str:
+    named = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+
+    def sub(m: re.Match) -> bytes:
+        c = m[1]
+        return bytes([int(c, 8) & 255]) if c[:1].isdigit() else named.get(c, b"" if c in b"\r\n" else c)
+
+    return re.sub(rb"\\([0-7]{1,3}|.)", sub, raw, flags=re.S).decode("cp1252", "replace")
+
+
 def walk_json(value, path: str = "") -> list[str]:
     """A line ``path: value`` for each scalar of a JSON value."""
     if isinstance(value, dict):
@@ -83,17 +166,20 @@ def walk_json(value, path: str = "") -> list[str]:
 
 
 def read_body(body: bytes, charset: str | None, media: str) -> tuple[str, str, list[tuple[str, str]]]:
-    """(status, title, blocks) of a body by its media type: html, plain and JSON are read, others are unsupported."""
-    if body[:5] == b"%PDF-" or media == "application/pdf":
+    """(status, title, blocks) of a body by its media type and its first bytes: HTML, plain text, JSON and PDF are read."""
+    if b"%PDF-" in body[:1024] or media == "application/pdf":
+        blocks = [("", t) for t in read_pdf(body)]
+        return ("ok" if blocks else "malformed"), "", blocks
+    if media.split("/")[0] in ("image", "audio", "video", "font"):
         return "unsupported", "", []
-    text = declared_text(body, charset)
+    text, _ = decode_cascade(body, charset)
     if media == "application/json":
         try:
             return "ok", "", [("", line) for line in walk_json(json.loads(text))]
         except ValueError:
             return "malformed", "", []
     if media == "text/html" or text.lstrip()[:9].lower().startswith(("<!doctype", "<html")):
-        return ("ok", *read_html(text))
+        return read_page(text)
     blocks = [" ".join(html.unescape(p).split()) for p in re.split(r"\n\s*\n", text)]
     return "ok", "", [("", b) for b in blocks if b]
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ def get_spark(cores: int | str = 8, shuffle_partitions: int = 8, driver_memory:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -37,6 +40,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if where is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            where = os.path.join(tempfile.gettempdir(), f"weftline-checkpoint-{os.getpid()}")
+            where = tempfile.mkdtemp(prefix="weftline-checkpoint-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
     return df.checkpoint(eager=True)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.safety import public_address, retry_delay, safe_url
+
 RESULT = "status string, output string, error string, attempts int"
 
 
@@ -84,3 +88,52 @@ def fetch(urls: DataFrame, url: str, make_client, per_origin: int = 1) -> DataFr
     spread = urls.select(url).distinct().withColumn("origin", url_origin(F.col(url)))
     spread = spread.repartition(F.concat_ws("#", "origin", F.pmod(F.xxhash64(url), F.lit(per_origin)).cast("string")))
     return call_model(spread, url, url, make_client)
+
+
+class Refused(ValueError):
+    """A fetch that must not be made or finished."""
+
+
+def safe_fetcher(transport: Callable, resolve: Callable[[str], list[str]], *, most_bytes: int = 25 << 20, redirects: int = 5, retries: int = 2, backoff: float = 1.0, most_wait: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], dict]:
+    """A client for ``fetch``: only public http(s) targets, pinned to the address that was checked, bounded in size and redirects.
+
+    ``transport(url, address)`` returns (status, headers, chunks) without following redirects; ``resolve`` gives
+    the addresses of a host. Every hop is checked again. 429 and 5xx are tried again as the server asks.
+    """
+
+    def one(url: str) -> tuple[int, dict, bytes, str]:
+        hop, hops = url, 0
+        while True:
+            target, why = safe_url(hop)
+            if target is None:
+                raise Refused(f"unsafe_url:{why}")
+            addresses = resolve(urlsplit(target).hostname)
+            if not addresses or not all(map(public_address, addresses)):
+                raise Refused("unsafe_address")
+            status, headers, chunks = transport(target, addresses[0])
+            headers = {k.lower(): v for k, v in headers.items()}
+            if status in (301, 302, 303, 307, 308) and headers.get("location"):
+                hops += 1
+                if hops > redirects:
+                    raise Refused("too_many_redirects")
+                hop = urljoin(target, headers["location"])
+                continue
+            body = bytearray()
+            for chunk in chunks:
+                body += chunk
+                if len(body) > most_bytes:
+                    raise Refused("too_large")
+            return status, headers, bytes(body), target
+
+    def client(url: str) -> dict:
+        for retry in range(retries + 1):
+            status, headers, body, final = one(url)
+            if status != 429 and status < 500 or retry == retries:
+                break
+            wait = retry_delay(headers.get("retry-after"), retry, backoff, most_wait)
+            if wait is None:
+                break
+            sleep(wait)
+        return {"status_code": status, "final_url": final, "headers": headers, "body": body}
+
+    return client

@@ -11,26 +11,19 @@ from pyspark.sql.types import StructType
 
 
 def ingest(spark: SparkSession, folder: str, schema: StructType, target: str, checkpoint: str, key: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Read new Parquet files of ``folder`` and write rows whose key the target lacks.
+    """Read new Parquet files of ``folder`` and write each key once.
 
-    Each batch goes to a folder named by its number and overwrites it, so a batch that is run again
-    after a failure leaves no copy.
+    Keys that were seen stand in the state store of the checkpoint, partitioned by key, so no batch reads
+    the target. Each batch goes to a folder named by its number and overwrites it, so a batch that is run
+    again after a failure leaves no copy.
     """
     stream = spark.readStream.schema(schema).parquet(folder)
+    rows = (transform(stream) if transform else stream).dropDuplicates([key])
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = transform(batch) if transform else batch
-        rows = rows.dropDuplicates([key])
-        try:
-            before = spark.read.parquet(target).where(F.col("batch") != number).select(key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        else:
-            rows = rows.join(before, key, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_rates(stream: DataFrame, time: str, late: str, size: str, *by: str) -> DataFrame:
