@@ -71,7 +71,7 @@ def intervals(stats: DataFrame, drawn: DataFrame, key: str, by: list[str], value
     return _percentiles(sums, by, value, name)
 
 
-def resampled(stats: DataFrame, key: str, by: list[str], value: Column, parts: list[str], name: str, samples: int, seed: int) -> DataFrame:
+def resampled(stats: DataFrame, key: str, by: list[str], value: Column, parts: list[str], name: str, samples: int, seed: int, digits: int = 6) -> DataFrame:
     """``intervals`` over ``draws``, without a row for each draw: the draws stay in Arrow batches as multiplicities.
 
     Each task makes whole replicates and sends on their sums only. The clusters' rows are broadcast in
@@ -83,7 +83,7 @@ def resampled(stats: DataFrame, key: str, by: list[str], value: Column, parts: l
     size = each.count()
     schema = StructType([StructField("replicate", LongType()), *[stats.schema[c] for c in by], *[StructField(p, DoubleType()) for p in parts]])
     if not size:
-        return _percentiles(spark.createDataFrame([], schema), by, value, name)
+        return _percentiles(spark.createDataFrame([], schema), by, value, name, digits)
     rows = cut_lineage(stats.join(numbered(each, "place", key), key).select("place", *by, *parts))
     out = None
     for low in range(0, size, BLOCK):
@@ -118,16 +118,16 @@ def resampled(stats: DataFrame, key: str, by: list[str], value: Column, parts: l
         found = spark.range(samples).mapInArrow(run, schema)
         out = found if out is None else out.unionAll(found)
     if out is None:
-        return _percentiles(spark.createDataFrame([], schema), by, value, name)
+        return _percentiles(spark.createDataFrame([], schema), by, value, name, digits)
     if size > BLOCK:
         out = out.groupBy("replicate", *by).agg(*[F.sum(p).alias(p) for p in parts])
-    return _percentiles(out, by, value, name)
+    return _percentiles(out, by, value, name, digits)
 
 
-def _percentiles(sums: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+def _percentiles(sums: DataFrame, by: list[str], value: Column, name: str, digits: int = 6) -> DataFrame:
     per = sums.withColumn(name, value).where(F.col(name).isNotNull())
     return per.groupBy(*by).agg(
         F.count("*").alias("replicates"),
-        F.round(F.percentile(name, F.lit(0.025)), 6).alias("low"),
-        F.round(F.percentile(name, F.lit(0.975)), 6).alias("high"),
+        F.round(F.percentile(name, F.lit(0.025)), digits).alias("low"),
+        F.round(F.percentile(name, F.lit(0.975)), digits).alias("high"),
     )

@@ -143,13 +143,13 @@ def _retrieval_ci(s, d):
     return B.resampled(cl, "label", [], F.try_divide(F.col("hits"), F.col("n")), ["hits", "n"], "v", 5_000, 42)
 
 
-@query("veriscore_bootstrap", f"{_VS}, k as (select response_id, setting, claims, supported, 9 as k from v), sc as (select response_id, setting, {_F1K} as f1 from k), cl as (select response_id as label, sum(case when setting = 'oracle_evidence' then f1 else 0 end) as a, count_if(setting = 'oracle_evidence') as n from sc group by 1), {draws_sql('label', 7, 10_000)}, rp as (select replicate, sum(times * a) / nullif(sum(times * n), 0) as v from wt join cl using (label) group by 1) select count(v) as replicates, round(round(quantile_cont(v, 0.025), 6), 5) as low, round(round(quantile_cont(v, 0.975), 6), 5) as high from rp where v is not null")
+@query("veriscore_bootstrap", f"{_VS}, k as (select response_id, setting, claims, supported, 9 as k from v), sc as (select response_id, setting, {_F1K} as f1 from k), cl as (select response_id as label, sum(case when setting = 'oracle_evidence' then f1 else 0 end) as a, count_if(setting = 'oracle_evidence') as n from sc group by 1), {draws_sql('label', 7, 10_000)}, rp as (select replicate, sum(times * a) / nullif(sum(times * n), 0) as v from wt join cl using (label) group by 1) select count(v) as replicates, round(quantile_cont(v, 0.025), 5) as low, round(quantile_cont(v, 0.975), 5) as high from rp where v is not null")
 def _veriscore_bootstrap(s, d):
     sc = P.f1_at_k(_supported(s, d).withColumn("k", F.lit(9)), "claims", "supported", "k")
     mine = F.col("setting") == "oracle_evidence"
     cl = sc.groupBy(F.col("response_id").alias("label")).agg(F.sum(F.when(mine, F.col("f1")).otherwise(0.0)).alias("a"), F.count_if(mine).alias("n"))
-    ci = B.resampled(cl, "label", [], F.try_divide(F.col("a"), F.col("n")), ["a", "n"], "v", 10_000, 7)
-    return ci.select("replicates", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
+    ci = B.resampled(cl, "label", [], F.try_divide(F.col("a"), F.col("n")), ["a", "n"], "v", 10_000, 7, 5)
+    return ci.select("replicates", "low", "high")
 
 
 @query("props_json", "select event_type, count(*) as n, count_if(json_valid(props)) as valid from events group by event_type")

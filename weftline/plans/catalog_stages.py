@@ -193,17 +193,17 @@ _K = f"{_VS}, k as (select *, unnest(range(1, 21)) as k from v), fk as (select r
 _PAIRED = "df as (select a.response_id, a.k, b.f1 - a.f1 as delta from fk a join fk b on a.response_id = b.response_id and a.k = b.k and a.setting = 'no_evidence' and b.setting = 'oracle_evidence')"
 
 
-@query("k_contrasts", f"{_K}, {_PAIRED}, cl as (select distinct response_id from df), {draws_sql('response_id', 20260809, 1_000)}, rp as (select replicate, k, sum(times * delta) / sum(times) as v from wt join df using (response_id) group by 1, 2), iv as (select k, count(v) as replicates, round(round(quantile_cont(v, 0.025), 6), 5) as low, round(round(quantile_cont(v, 0.975), 6), 5) as high from rp where v is not null group by 1) select k::int as k, round(point, 5) as point, replicates, low, high, low <= 0 and high >= 0 as includes_zero from iv join (select k, avg(delta) as point from df group by 1) using (k)")
+@query("k_contrasts", f"{_K}, {_PAIRED}, cl as (select distinct response_id from df), {draws_sql('response_id', 20260809, 10_000)}, rp as (select replicate, k, sum(times * delta) / sum(times) as v from wt join df using (response_id) group by 1, 2), iv as (select k, count(v) as replicates, round(quantile_cont(v, 0.025), 5) as low, round(quantile_cont(v, 0.975), 5) as high from rp where v is not null group by 1) select k::int as k, round(point, 5) as point, replicates, low, high, low <= 0 and high >= 0 as includes_zero from iv join (select k, avg(delta) as point from df group by 1) using (k)")
 def _contrasts(s, d):
     """Paired difference of F1 at each K between two settings, with an interval from one set of draws for all K."""
     rows = _supported(s, d).where("setting in ('no_evidence', 'oracle_evidence')").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20))))
     f1 = S.f1_at_k(rows, "claims", "supported", "k").select("response_id", "setting", "k", "f1")
     a, b = f1.where("setting = 'no_evidence'").select("response_id", "k", F.col("f1").alias("a")), f1.where("setting = 'oracle_evidence'").select("response_id", "k", F.col("f1").alias("b"))
     delta = a.join(b, ["response_id", "k"]).select("response_id", "k", (F.col("b") - F.col("a")).alias("delta"), F.lit(1.0).alias("one"))
-    ci = B.resampled(delta, "response_id", ["k"], F.try_divide(F.col("delta"), F.col("one")), ["delta", "one"], "v", 1_000, 20260809)
+    ci = B.resampled(delta, "response_id", ["k"], F.try_divide(F.col("delta"), F.col("one")), ["delta", "one"], "v", 10_000, 20260809, 5)
     point = delta.groupBy("k").agg(F.round(F.avg("delta"), 5).alias("point"))
-    low, high = F.round("low", 5), F.round("high", 5)
-    return point.join(ci, "k").select("k", "point", "replicates", low.alias("low"), high.alias("high"), ((low <= 0) & (high >= 0)).alias("includes_zero"))
+    low, high = F.col("low"), F.col("high")
+    return point.join(ci, "k").select("k", "point", "replicates", low, high, ((low <= 0) & (high >= 0)).alias("includes_zero"))
 
 
 @query("k_stability", f"{_K}, mn as (select setting, k, round(avg(f1), 6) as m from fk group by 1, 2), od as (select k, string_agg(setting, '>' order by m desc, setting) as ranking from mn group by 1) select ranking, count(*) as ks, min(k)::int as first_k, max(k)::int as last_k from od group by 1")
