@@ -47,18 +47,18 @@ EXEMPLARS = {
         Fatal error: uncaught exception thrown in file on line 9. Stack trace follows.
         Warning: undefined variable in script on line 9
         Traceback (most recent call last): file line 9 in module raise error
-        java.lang.NullPointerException at org.apache.catalina.core. Exception report, root cause, null pointer, illegal state exception at app view main run java 9
+        java.lang.NullPointerException at org.apache.catalina.core. HTTP status 9, exception report, root cause, at java.lang.Thread.run(Thread.java:9)
         Server error in application. Runtime error. The current custom error settings prevent the details from being viewed.
         This site can't be reached. Check if there is a typo. The host name could not be resolved. DNS error.
-        The domain is parked. This domain name may be for sale. Buy this domain or contact the registrar or owner.
+        The domain is parked. This domain name may be for sale. Buy this domain. Inquire about this domain or contact the owner.
         This account has been suspended. Contact your hosting provider for more information. The bandwidth limit has been exceeded.
         Welcome to nginx! If you see this page, the web server is successfully installed and working. Further configuration is required.
         It works! This is the default web page for this server. Index of parent directory.
-        Seite nicht gefunden. Die gewünschte, angeforderte oder aufgerufene Seite existiert nicht, wurde verschoben oder ist leider nicht vorhanden.
+        Seite nicht gefunden. Die gewünschte oder aufgerufene Seite existiert nicht oder wurde verschoben.
         Es ist ein Fehler aufgetreten. Interner Serverfehler. Bitte versuchen Sie es später erneut.
-        Page non trouvée, page introuvable. La page ou le document demandé n’existe pas ou n'existe plus sur ce serveur ou a été déplacé.
+        Page non trouvée, page introuvable. La page que vous recherchez n'existe pas ou a été déplacée.
         Une erreur est survenue. Erreur interne du serveur. Veuillez réessayer plus tard.
-        Página no encontrada. La página o el contenido que busca no existe, ya no está disponible o se ha movido.
+        Página no encontrada. La página que busca no existe o se ha movido.
         Se ha producido un error interno del servidor. Inténtelo de nuevo más tarde.
         Pagina non trovata. La pagina richiesta che cerchi non esiste o è stata spostata.
         Página não encontrada. A página que você procura não existe ou foi removida.
@@ -75,7 +75,7 @@ EXEMPLARS = {
         One more step. Please complete the security check to access the site. Solve the captcha to prove that you are not a robot.
         Please confirm you are a human by completing the challenge below. Press and hold the button.
         Our systems have detected unusual traffic or automated requests from your computer network.
-        429 too many requests. You have sent too many requests in a given amount of time, slow down. Rate limit exceeded. Please try again or come back in 9 seconds.
+        429 too many requests. You have sent too many requests in a given amount of time. Rate limit exceeded. Please try again later.
         Sorry, you have been blocked. Your IP address has been banned. You are unable to access this site.
         Please log in to continue. You must be signed in to view this page. Sign in or create an account.
         This content is for subscribers only. Subscribe or log in to continue reading.
@@ -94,12 +94,12 @@ EXEMPLARS = {
         Please enable JavaScript to view this page or use this site.
         JavaScript is disabled in your browser. Please turn it on or enable it in the settings and reload the page to continue.
         JavaScript is required. This site, page or application requires JavaScript to work or function properly.
-        Your browser does not support JavaScript or has scripts disabled, so the page or content cannot be displayed or shown.
+        Your browser does not support JavaScript or it is currently disabled.
         We're sorry, but this application doesn't work properly without JavaScript enabled. Please enable it to continue.
-        Please allow scripts and cookies for this site, then refresh. Cookies must be enabled.
+        Please enable cookies and refresh the page. Cookies must be enabled.
         Your browser is out of date. Please upgrade to a modern supported browser.
-        Loading, please wait. If nothing happens, click here.
-        Redirecting. You will be redirected automatically. If you are not redirected, click the link.
+        Loading, please wait.
+        Redirecting. You will be redirected automatically. If you are not redirected or nothing happens, click here.
         Bitte aktivieren Sie JavaScript in Ihrem Browser, um diese Seite, Website oder Anwendung zu sehen, anzuzeigen oder zu nutzen.
         Veuillez activer JavaScript dans votre navigateur pour afficher cette page, le contenu ou ce site.
         Active o habilite JavaScript en su navegador para ver esta página o este sitio.
@@ -116,11 +116,11 @@ EXEMPLARS = {
         xxx xxx xxx yyy zzz
         test test test testing 9 this is a test, just a test page, please ignore
         Coming soon. Under construction. This page or section is under construction. New content will be added here soon. Watch this space.
-        This is placeholder text. Replace this text with your own content. This is dummy copy. More copy to come, copy goes here.
+        This is placeholder text. Replace this text with your own content. This is dummy copy. Copy goes here.
         Your text goes here. Add your text here. Enter text here. Click here or double click to edit and add text.
         Insert your headline here. Title goes here. Heading, subtitle, body and description go here. Insert image, link, caption or summary here.
-        Describe your product, service or company here. Write a short description about yourself. Tell your visitors your story.
-        To do: write, add or finish this section. To be added. To be written. To be announced. To be determined. Draft.
+        I'm a paragraph. Click here to add your own text and edit me. I'm a great place for you to tell a story and let your users know a little more about you.
+        To do. To be added. To be announced. To be determined. Draft.
         Hello world! Welcome to WordPress. This is your first post. Edit or delete it, then start writing!
         This is an example page. It's different from a blog post because it will stay in one place. Sample page.
         Untitled document. New page. No title. No content. Default title. Empty page. Page title
