@@ -44,3 +44,21 @@ def test_held_out_notices():
     assert len(missed) <= 0.1 * len(HELD_OUT), missed
     assert not [t for t in ARTICLES if share(f"{t} {ARTICLES[3]}") >= COVERED or placeholders(t)]
     assert not {frozenset(words_of(t)) for t in HELD_OUT} & {frozenset(w) for _, w in exemplars()} and len(exemplars()) < 200 and len(EXEMPLARS) == 4
+
+
+def test_harvested_from_error_pages(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.llm.residue import harvest
+
+    notice = "<html><body><a href='/'>Menu of the site</a><p>The shelf that held number %d is bare tonight.</p></body></html>"
+    long = "<html><body><p>" + "The harbour of Garwen was rebuilt after the storm. " * 20 + "</p><p>Read the whole story of it.</p></body></html>"
+    rows = [(k, 404, (notice % k).encode()) for k in range(3)] + [(2, 404, (notice % 2).encode())] + [(k, 500, long.encode()) for k in range(10, 14)]
+    rows += [(k, 200, b"<p>One more such page of few words.</p>") for k in range(20, 24)] + [(30, 404, None), (31, 404, b""), (32, None, b"<p>x y z</p>")]
+    df = spark.createDataFrame(rows, "id long, status int, body binary").withColumn("line", F.lit("x"))
+    got = harvest(df, "id", "body", F.lit(None).cast("string"), df.status)
+    assert got == ["the shelf that held number 9 is bare tonight"]
+    assert harvest(df.limit(0), "id", "body", F.lit(None).cast("string"), df.status) == []
+    words = words_of("The shelf that held number 77 is bare tonight.")
+    index = build_index(100, {}, got)
+    assert covered_words(words, index).all() and not covered_words(words, index, labels=False).any() and not covered_words(words, build_index(100, {})).any()

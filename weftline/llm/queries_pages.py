@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.http import charset, media_type
 from weftline.llm.blocks import main_blocks, train
 from weftline.llm.garble import garbled
-from weftline.llm.residue import Index, build_index, frequencies, is_residue, read_pages, read_texts
+from weftline.llm.residue import Index, build_index, frequencies, harvest, is_residue, read_pages, read_texts
 
 
 def _fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,8 @@ def _readable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index]:
     """Every page read, and the index: p4 and p7 share labeller, weights and so what is residue."""
     readable, pages = _readable(spark, sf_dir), _pages(spark, sf_dir)
-    index = build_index(*frequencies(readable, "body", charset(readable.headers)))
+    seen = harvest(pages, "fetch_id", "body", charset(pages.headers), pages.status_code)
+    index = build_index(*frequencies(readable, "body", charset(readable.headers), seen), seen)
     model = train(pages, "body", charset(pages.headers), "fetch_id")
     return read_pages(pages, "fetch_id", "body", charset(pages.headers), model, index), index
 

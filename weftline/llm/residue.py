@@ -4,7 +4,8 @@ Labelled exemplars of residue are held in an inverted index from word to exempla
 together are one more exemplar, as notices are worded in many ways from the same words. The content of
 a page is read in overlapping windows of words; each window retrieves exemplars through its words
 and is scored by the share of its TF-IDF weight that one exemplar contains. A page whose content
-lies mostly in windows of high score is residue. Weights come from the whole corpus.
+lies mostly in windows of high score is residue. Weights come from the whole corpus. More exemplars are
+harvested from the corpus itself: texts that short pages with an error status have in common.
 Unfilled placeholders count wherever they stand in the content, unless a sentence speaks of them.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.http import declared_text
 from weftline.llm.blocks import Block, Model, block_key, headline, label_pages, parse, train
+from weftline.session import cut_lineage
 
 #: Labelled exemplars of residue, by kind; a 9 stands for any number.
 EXEMPLARS = {
@@ -140,6 +142,8 @@ _SPEAKS = re.compile(r"\b(?:tags?|placeholders?|such as|called|named|variables?|
 
 #: Words of a window; score of a residue window under one exemplar, and under all of a label; share that makes a page residue.
 WINDOW, SCORE, LABEL_SCORE, COVERED = 8, 0.72, 0.8, 0.3
+#: Harvested exemplars: words of a page that is nothing but a notice, pages that must have a text in common, and their share.
+SHORT_PAGE, COMMON, COMMON_SHARE = 60, 3, 0.002
 #: Blocks of at least this probability are content here: a notice may be all that a page has.
 CONTENT = 0.25
 
@@ -155,6 +159,7 @@ class Index(NamedTuple):
     """Inverted index of the exemplars with the weights of the words."""
 
     of: dict[str, tuple[int, ...]]  # word -> exemplars; -1 and below: all of a label
+    given: int  # exemplars that were given; those from here on are harvested
     weight: dict[str, float]
     rare: float  # weight of a word that no exemplar has
 
@@ -167,8 +172,8 @@ def vocabulary() -> set[str]:
     return set().union(*(words for _, words in exemplars()))
 
 
-def build_index(texts: int, frequency: dict[str, int]) -> Index:
-    """Index with inverse document frequencies from the corpus."""
+def build_index(texts: int, frequency: dict[str, int], harvested: Iterable[str] = ()) -> Index:
+    """Index with inverse document frequencies from the corpus; ``harvested`` are more exemplars as joined words."""
     of: dict[str, list[int]] = {}
     labels = {kind: -1 - k for k, kind in enumerate(EXEMPLARS)}
     for n, (kind, words) in enumerate(exemplars()):
@@ -176,12 +181,16 @@ def build_index(texts: int, frequency: dict[str, int]) -> Index:
             of.setdefault(w, []).append(n)
             if labels[kind] not in of[w]:
                 of[w].append(labels[kind])
+    given = len(exemplars())
+    for n, line in enumerate(sorted(harvested), given):
+        for w in set(line.split(" ")):
+            of.setdefault(w, []).append(n)
     weight = {w: math.log((texts + 1) / (frequency.get(w, 0) + 1)) + 0.1 for w in of}
-    return Index({w: tuple(v) for w, v in of.items()}, weight, math.log(texts + 1) / 2 + 0.1)
+    return Index({w: tuple(v) for w, v in of.items()}, given, weight, math.log(texts + 1) / 2 + 0.1)
 
 
 def covered_words(words: list[str], index: Index, labels: bool = True) -> np.ndarray:
-    """Which words of a passage lie in a window that one exemplar contains to at least ``SCORE``, or (``labels``) all of a label to ``LABEL_SCORE``."""
+    """Which words of a passage lie in a window that one exemplar contains to at least ``SCORE``, or (``labels``) all of a label to ``LABEL_SCORE``; harvested exemplars count with ``labels`` only."""
     n = len(words)
     hit = np.zeros(n, bool)
     if index.of.keys().isdisjoint(words):
@@ -202,9 +211,9 @@ def covered_words(words: list[str], index: Index, labels: bool = True) -> np.nda
                 per[e] = per.get(e, 0.0) + weight[k]
         one, all_of = 0.0, 0.0
         for e, got in per.items():
-            if e >= 0:
+            if 0 <= e < index.given or e >= 0 and labels:
                 one = max(one, got)
-            else:
+            elif e < 0:
                 all_of = max(all_of, got)
         if one >= need or labels and all_of * SCORE >= need * LABEL_SCORE:
             hit[a : a + size] = True
@@ -256,9 +265,37 @@ def residue(blocks: list[Block], title: str, score: np.ndarray, page: str, index
     return found / total if total else 0.0, any(placeholders(b.text) for b in content)
 
 
-def frequencies(df: DataFrame, body: str, charset: Column) -> tuple[int, dict[str, int]]:
+def harvest(df: DataFrame, key: str, body: str, charset: Column, status: Column) -> list[str]:
+    """Texts (as joined words) of blocks that short pages with an error status have in common; sorted.
+
+    A block counts where the whole page has at most ``SHORT_PAGE`` words beside links and scripts, once per
+    key. It must stand in ``COMMON`` pages, and in the share ``COMMON_SHARE`` of the short error pages: as a page
+    has at most ``SHORT_PAGE`` / 3 blocks, no more than ``SHORT_PAGE`` / 3 / ``COMMON_SHARE`` texts reach the driver.
+    """
+    rows = df.where((status >= 400) & (F.length(df[body]) > 0)).select(df[key].cast("string").alias("k"), df[body].alias("b"), charset.alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lines = [], []
+            for k, b, c in zip(*batch.columns):
+                blocks, _ = parse(declared_text(b.as_py(), c.as_py()))
+                words = [words_of(x.text) for x in blocks if x.linked < 0.5]
+                if 0 < sum(map(len, words)) <= SHORT_PAGE:
+                    found = {" ".join(w) for w in words if len(w) >= 3} | {""}  # the empty one counts the page
+                    keys += [k.as_py()] * len(found)
+                    lines += found
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(lines, pa.string())], ["k", "line"])
+
+    counts = rows.mapInArrow(run, "k string, line string").distinct().groupBy("line").agg(F.count("*").alias("n"))
+    counts = cut_lineage(counts)
+    pages = counts.where("line = ''").agg(F.sum("n")).first()[0] or 0
+    least = max(COMMON, COMMON_SHARE * pages)
+    return sorted(r["line"] for r in counts.where((F.col("line") != "") & (F.col("n") >= least)).collect())
+
+
+def frequencies(df: DataFrame, body: str, charset: Column, harvested: Iterable[str] = ()) -> tuple[int, dict[str, int]]:
     """Pages of ``df`` and, for each word of the exemplars, in how many of them it stands."""
-    known = vocabulary()
+    known = vocabulary().union(*(line.split(" ") for line in harvested))
     rows = df.where(F.length(df[body]) > 0).select(df[body].alias("b"), charset.alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
