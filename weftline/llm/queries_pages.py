@@ -47,13 +47,13 @@ def _readable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(media.startswith("text/") | (media == "application/json"))
 
 
-def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index]:
+def _read(spark: SparkSession, sf_dir: str, keys: bool = True) -> tuple[DataFrame, Index]:
     """Every page read, and the index: p4 and p7 share labeller, weights and so what is residue."""
     readable, pages = _readable(spark, sf_dir), _pages(spark, sf_dir)
     seen = harvest(pages, "fetch_id", "body", charset(pages.headers), pages.status_code)
     index = build_index(*frequencies(readable, "body", charset(readable.headers), seen), seen)
     model = train(pages, "body", charset(pages.headers), "fetch_id")
-    return read_pages(pages, "fetch_id", "body", charset(pages.headers), model, index), index
+    return read_pages(pages, "fetch_id", "body", charset(pages.headers), model, index, keys), index
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fetch_id): bodies whose content is residue."""
-    read, index = _read(spark, sf_dir)
+    read, index = _read(spark, sf_dir, keys=False)
     readable = _readable(spark, sf_dir)
     texts = readable.where(~_is_page(readable))
     other = read_texts(texts, "fetch_id", "body", charset(texts.headers), index).where(is_residue()).select("fetch_id")

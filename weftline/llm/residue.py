@@ -5,7 +5,8 @@ together are one more exemplar, as notices are worded in many ways from the same
 a page is read in overlapping windows of words; each window retrieves exemplars through its words
 and is scored by the share of its TF-IDF weight that one exemplar contains. A page whose content
 lies mostly in windows of high score is residue. Weights come from the whole corpus. More exemplars are
-harvested from the corpus itself: texts that short pages with an error status have in common.
+harvested from the corpus itself: texts that short pages with an error status have in common. Lines that
+stand in many pages, mostly where nothing else is content, are residue too, whatever their words and the status.
 Unfilled placeholders count wherever they stand in the content, unless a sentence speaks of them.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -135,19 +137,28 @@ EXEMPLARS = {
 PLACEHOLDER = re.compile(
     r"\{\{[^{}]{1,60}\}\}|\{%-?[^{}%]{1,60}-?%\}|\{%-? ?[a-z]+ |\$\{[^{}]{1,60}\}|<%=?[^%<>]{1,60}%>|@@\w{2,40}@@|__[A-Z][A-Z0-9_]{2,40}__"
     r"|(?<![\w%])%[A-Z][A-Z_]{2,40}%|\[(?:[A-Z]{3,}[A-Z _]{0,40}|(?:Insert|Your|Add|Enter|Type|Write) [^\][]{2,60})\]|\[\[[a-zA-Z_. ]{2,40}\]\]"
-    r"|\bXX-[A-Z]+-XX\b|(?<![\w{$])\{[a-z][a-z_.]{2,40}\}|#[A-Z][A-Z_]{2,40}#|<<[A-Z][A-Z _]{2,40}>>"
+    r"|\bXX-[A-Z]+-XX\b|(?<![\w{$])\{[a-z][a-z_.]{2,40}\}|#[A-Z][A-Z_]{2,40}#|<<[A-Z][A-Z _]{2,40}>>|%%[A-Za-z]\w{1,40}%%"
 )
 #: Words by which a sentence speaks of placeholders instead of having one.
 _SPEAKS = re.compile(r"\b(?:tags?|placeholders?|such as|called|named|variables?|explains?|writes?|syntax|marker|field)\b[^.]{0,60}$", re.I)
 
 #: Words of a window; score of a residue window under one exemplar, and under all of a label; share that makes a page residue.
-WINDOW, SCORE, LABEL_SCORE, COVERED = 8, 0.72, 0.8, 0.3
+WINDOW, SCORE, LABEL_SCORE, COVERED = 8, 0.72, 0.8, 0.5
+#: Fewest words of a window that all of a label may cover: fewer words stand together by chance.
+LABEL_WINDOW = 5
 #: Harvested exemplars: words of a page that is nothing but a notice, pages that must have a text in common, and their share.
 SHORT_PAGE, COMMON, COMMON_SHARE = 60, 3, 0.002
+#: Share of the pages with a line in which nothing else is content, from which on the line is residue.
+ALONE = 0.5
 #: Blocks of at least this probability are content here: a notice may be all that a page has.
 CONTENT = 0.25
 
 _WORDS = re.compile(r"[^\W\d_]+|\d+")
+_DIGIT = re.compile(r"\d")
+#: Bytes of text in lower case: ASCII letters stay, as do bytes outside ASCII; all else is space.
+_APART = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_LINES = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32()), ("hit", pa.int32())]))
+_HOST = re.compile(r"\b(?:[a-z0-9][a-z0-9-]*\.)+[a-z]{2,}\b")
 _NOSCRIPT = re.compile(r"<noscript[^>]*>(.*?)(?:</noscript\s*>|\Z)", re.I | re.S)
 
 
@@ -201,17 +212,21 @@ def covered_words(words: list[str], index: Index, labels: bool = True) -> np.nda
     weight = [index.weight.get(w, -index.rare) for w in words]
     total = [0.0, *accumulate(map(abs, weight))]
     known = [0.0, *accumulate(w if w > 0 else 0.0 for w in weight)]
+    numbers = [0, *accumulate(w == "9" for w in words)]
+    labels, harvested = labels and size >= LABEL_WINDOW, labels
     for a in range(n - size + 1):
         need = SCORE * (total[a + size] - total[a])
         if known[a + size] - known[a] < need:  # not even all exemplars together have enough
             continue
+        if 2 * (numbers[a + size] - numbers[a]) > size:  # a table is in no exemplar, although each of its numbers is
+            continue
         per: dict[int, float] = {}
         for k in range(a, a + size):
             for e in index.of.get(words[k], ()):
                 per[e] = per.get(e, 0.0) + weight[k]
         one, all_of = 0.0, 0.0
         for e, got in per.items():
-            if 0 <= e < index.given or e >= 0 and labels:
+            if 0 <= e < index.given or e >= 0 and harvested:
                 one = max(one, got)
             elif e < 0:
                 all_of = max(all_of, got)
@@ -237,32 +252,74 @@ def placeholders(text: str) -> bool:
     return any(not _SPEAKS.search(text[max(0, m.start() - 80) : m.start()]) for m in PLACEHOLDER.finditer(text))
 
 
-def residue(blocks: list[Block], title: str, score: np.ndarray, page: str, index: Index) -> tuple[float, bool]:
-    """Share of the content that is residue, and whether it has placeholders."""
+class Line(NamedTuple):
+    """One line of content: digest of its words, their number, how many are residue by the exemplars."""
+
+    line: int
+    words: int
+    hit: int
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def line_key(text: str, words: list[str]) -> int:
+    """Digest of a line's words without host names, so that a notice that names its site is one line everywhere."""
+    if "." in text[:-1] and _HOST.search(text):
+        words = words_of(_HOST.sub(" ", text))
+    return _digest(" ".join(words))
+
+
+class Reader:
+    """Reads lines by an index; what short texts give is kept, as menus and notices come again and again."""
+
+    def __init__(self, index: Index) -> None:
+        self.index = index
+        self.kept: dict[tuple[str, bool], Line] = {}
+
+    def __call__(self, text: str, labels: bool = True) -> Line:
+        if (got := self.kept.get((text, labels))) is None:
+            words = words_of(text)
+            got = Line(line_key(text, words) if len(words) <= SHORT_PAGE else 0, len(words), int(covered_words(words, self.index, labels).sum()))
+            if len(text) <= 200:
+                if len(self.kept) > 50_000:
+                    self.kept.clear()
+                self.kept[text, labels] = got
+        return got
+
+
+def content_lines(blocks: list[Block], title: str, score: np.ndarray, page: str, read: Reader) -> tuple[list[Line], list[int], bool]:
+    """Lines that decide about a page, keys of its other lines, and whether content has placeholders."""
     top = headline(blocks, title)
-    found = total = 0
-    whole: list[tuple[int, int]] = []  # a headline that is no notice itself counts only where nothing else is content
+    lines: list[Line] = []
+    whole: list[Line] = []  # a headline that is no notice itself counts only where nothing else is content
+    rest: list[int] = []
     content = []
     for i, (b, s) in enumerate(zip(blocks, score)):
         if b.linked > 0.5:
             continue
-        words = words_of(b.text)
-        hit = int(covered_words(words, index, s >= CONTENT).sum())
+        line = read(b.text, bool(s >= CONTENT))
         # A block that is nothing but residue is content wherever the labeller sees it.
-        if s < CONTENT and (not hit or hit < SCORE * len(words)):
+        if s < CONTENT and (not line.hit or line.hit < SCORE * line.words):
+            rest.append(line.line)
             continue
         content.append(b)
-        if i == top and hit < len(words):
-            whole.append((hit, len(words)))
+        if top < 0 and len(content) == 1 and b.text[-1] not in ".!?…:":
+            top = i
+        if i == top and line.hit < line.words:
+            whole.append(line)
         else:
-            found, total = found + hit, total + len(words)
-    if not total and not whole:
-        for t in [b.text for b in blocks if b.linked < 0.5] or [re.sub(r"<[^>]*>", " ", t) for t in _NOSCRIPT.findall(page)]:
-            words = words_of(t)
-            whole.append((int(covered_words(words, index).sum()), len(words)))
-    if not total:
-        found, total = sum(h for h, _ in whole), sum(n for _, n in whole)
-    return found / total if total else 0.0, any(placeholders(b.text) for b in content)
+            lines.append(line)
+    has = any(placeholders(b.text) for b in content)
+    if any(x.words for x in lines):
+        rest += [x.line for x in whole]
+    else:
+        lines = whole
+    if own := [x for x in lines if x.words]:
+        return own, rest, has
+    others = [b.text for b in blocks if b.linked < 0.5] or [re.sub(r"<[^>]*>", " ", t) for t in _NOSCRIPT.findall(page)]
+    return [x for x in map(read, others) if x.words], [], has
 
 
 def harvest(df: DataFrame, key: str, body: str, charset: Column, status: Column) -> list[str]:
@@ -294,8 +351,9 @@ def harvest(df: DataFrame, key: str, body: str, charset: Column, status: Column)
 
 
 def frequencies(df: DataFrame, body: str, charset: Column, harvested: Iterable[str] = ()) -> tuple[int, dict[str, int]]:
-    """Pages of ``df`` and, for each word of the exemplars, in how many of them it stands."""
+    """Pages of ``df`` and, for each word of the exemplars, in how many of them it stands; any number is a 9."""
     known = vocabulary().union(*(line.split(" ") for line in harvested))
+    written = {w.encode(): w for w in known}
     rows = df.where(F.length(df[body]) > 0).select(df[body].alias("b"), charset.alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +361,15 @@ def frequencies(df: DataFrame, body: str, charset: Column, harvested: Iterable[s
         for batch in batches:
             for b, c in zip(batch.column(0), batch.column(1)):
                 total += 1
-                for w in known.intersection(_WORDS.findall(declared_text(b.as_py(), c.as_py()).lower())):
+                text = declared_text(b.as_py(), c.as_py()).lower()
+                parts = set(text.encode("utf-8", "replace").translate(_APART).split())
+                found = {written[w] for w in written.keys() & parts}
+                for w in parts:
+                    if not w.isascii():  # punctuation outside ASCII is not taken apart yet
+                        found.update(known.intersection(words_of(w.decode())))
+                if _DIGIT.search(text):
+                    found.add("9")
+                for w in found & known:
                     counts[w] += 1
         counts[""] = total
         yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
@@ -313,13 +379,14 @@ def frequencies(df: DataFrame, body: str, charset: Column, harvested: Iterable[s
 
 
 def read_pages(
-    df: DataFrame, key: str, body: str, charset: Column, model: Model | None = None, index: Index | None = None
+    df: DataFrame, key: str, body: str, charset: Column, model: Model | None = None, index: Index | None = None, keys: bool = True
 ) -> DataFrame:
     """(key, covered, placeholders, block_keys array): what each page's content is.
 
-    ``covered`` is the share of the content in residue windows, ``block_keys`` the distinct keys of
-    the main blocks in order. Null and empty bodies have no row. Repeated rows give repeated
-    results, other columns are left behind. Row-local; model and index (fixed sizes) are broadcast.
+    ``covered`` is the share of the content in residue windows or in lines that stand alone (``alone``),
+    ``block_keys`` the distinct keys of the main blocks in order; without ``keys`` they are null. Null and
+    empty bodies have no row. Repeated rows give repeated results, other columns are left behind. Every page
+    is read once, row by row; model and index (fixed sizes) are broadcast. What is read is checkpointed.
     """
     rows = df.select(df[key].alias("k"), df[body].alias("b"), charset.alias("c")).where(F.length(df[body]) > 0)
     model = model or train(df, body, charset, key)
@@ -329,26 +396,64 @@ def read_pages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, exemplar_index = shipped.value
+        reader = Reader(exemplar_index)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = [declared_text(b.as_py(), c.as_py()) for b, c in zip(part.column(1), part.column(2))]
                 pages = [parse(t) for t in texts]
-                share, place, keys = [], [], []
+                lines, rest, place, found = [], [], [], []
+                titles = [_digest(title or text) for text, (_, title) in zip(texts, pages)]
                 for text, (blocks, title), s in zip(texts, pages, label_pages(net, pages)):
-                    covered, has = residue(blocks, title, s, text, exemplar_index)
-                    share.append(covered)
+                    decisive, others, has = content_lines(blocks, title, s, text, reader)
+                    lines.append([x._asdict() for x in decisive])
+                    rest.append(others)
                     place.append(has)
-                    found = dict.fromkeys(block_key(b.text) for b, p in zip(blocks, s) if p >= 0.5)
-                    found.pop("", None)
-                    keys.append(list(found))
+                    main = dict.fromkeys(block_key(b.text) for b, p in zip(blocks, s) if p >= 0.5) if keys else None
+                    if main:
+                        main.pop("", None)
+                    found.append(None if main is None else list(main))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(share, pa.float64()), pa.array(place, pa.bool_()), pa.array(keys, pa.list_(pa.string()))],
-                    ["k", "covered", "placeholders", "block_keys"],
+                    [part.column(0), pa.array(titles, pa.int64()), pa.array(lines, _LINES), pa.array(rest, pa.list_(pa.int64())), pa.array(place, pa.bool_()), pa.array(found, pa.list_(pa.string()))],
+                    ["k", "title", "lines", "rest", "placeholders", "block_keys"],
                 )
 
-    schema = f"k {kind}, covered double, placeholders boolean, block_keys array<string>"
-    return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
+    schema = f"k {kind}, title bigint, lines array<struct<line bigint, words int, hit int>>, rest array<bigint>, placeholders boolean, block_keys array<string>"
+    read = cut_lineage(rows.mapInArrow(run, schema))
+    residue_lines = alone(read)
+    hit = F.aggregate("lines", F.lit(0), lambda n, x: n + F.when(x["line"].isin(residue_lines), x["words"]).otherwise(x["hit"]))
+    words = F.aggregate("lines", F.lit(0), lambda n, x: n + x["words"])
+    covered = F.when(words > 0, hit / words).otherwise(0.0)
+    return read.select(F.col("k").alias(key), covered.alias("covered"), "placeholders", "block_keys")
+
+
+def alone(read: DataFrame) -> list[int]:
+    """Keys of the lines that stand in many pages, mostly where nothing else is content; sorted.
+
+    ``read`` has k, title, lines and rest of each page. A page counts as short by ``SHORT_PAGE``; a line must stand
+    in ``COMMON`` short pages and in the share ``COMMON_SHARE`` of them, so no more than ``SHORT_PAGE`` /
+    ``COMMON_SHARE`` lines reach the driver. It is residue if as many short pages, and ``ALONE`` of all pages that
+    have it anywhere, have no content but such lines and residue. Once per key; pages must have ``COMMON`` titles
+    among them, as one article may be fetched often.
+    """
+    words = F.aggregate("lines", F.lit(0), lambda n, x: n + x["words"])
+    short = read.where(words <= SHORT_PAGE)
+    lines = short.select("k", "title", F.explode("lines").alias("x")).select("k", "title", "x.*")
+    least = max(COMMON, COMMON_SHARE * short.select("k").distinct().count())
+    many = (F.col("n") >= least) & (F.col("titles") >= COMMON)
+
+    def counted(df: DataFrame) -> DataFrame:
+        return df.select("k", "title", "line").distinct().groupBy("line").agg(F.count("*").alias("n"), F.count_distinct("title").alias("titles"))
+
+    common = cut_lineage(counted(lines.where("line != 0")).where(many).select("line", F.lit(True).alias("common")))
+    marked = lines.join(F.broadcast(common), "line", "left")
+    known = F.coalesce("common", F.lit(False))
+    bare = marked.groupBy("k", "title").agg(F.bool_and(known | (F.col("hit") >= F.col("words"))).alias("bare"), F.collect_set(F.when(known, F.col("line"))).alias("line"))
+    by_itself = counted(bare.where("bare").select("k", "title", F.explode("line").alias("line"))).where(many)
+    everywhere = read.select("k", F.explode(F.array_union(F.transform("lines", lambda x: x["line"]), "rest")).alias("line"))
+    total = everywhere.join(F.broadcast(common), "line").select("k", "line").distinct().groupBy("line").agg(F.count("*").alias("of"))
+    found = by_itself.join(total, "line").where(F.col("n") >= ALONE * F.col("of"))
+    return sorted(r["line"] for r in found.select("line").collect())
 
 
 def read_texts(df: DataFrame, key: str, body: str, charset: Column, index: Index) -> DataFrame:
