@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from weftline.llm.blocks import fit, parse
-from weftline.llm.residue import build_index, covered_words, frequencies, is_residue, line_key, placeholders, read_pages, read_texts, words_of
+from weftline.llm.blocks import features, fit, parse
+from weftline.llm.residue import SCORE, _may_cover, build_index, covered_words, frequencies, is_residue, line_key, placeholders, read_pages, read_texts, words_of
 
 NOUNS = "harbour mill archive river tower ledger garden school bridge market".split()
 
@@ -74,3 +74,30 @@ def test_frequencies_by_word(spark):
     df = spark.createDataFrame([(b if b is None else b.encode(),) for b in bodies], "body binary")
     total, got = frequencies(df, "body", F.lit(None), ["été 9"])
     assert total == 3 and (got["page"], got["not"], got["found"], got["error"], got["9"], got["été"]) == (3, 1, 1, 1, 2, 2)
+
+
+def test_long_tables_are_not_opened():
+    index = build_index(4000, {"of": 3000, "the": 3500})
+    assert not _may_cover(["of", "the", *["9"] * 5000], index) and _may_cover(["x"] * 90 + words_of("You need to enable JavaScript to run this app."), index)
+
+
+def test_pruned_windows_agree_with_all_windows():
+    rnd = random.Random(8)
+    index = build_index(500, {w: rnd.randint(0, 400) for w in ("the", "of", "page", "not", "error")})
+    words = [*rnd.sample(sorted(index.weight), 60), *["the", "of", "page", "not", "9"] * 8, "unseen", "unheard"]
+    for _ in range(600):
+        given = [rnd.choice(words) for _ in range(rnd.randint(1, 30))]
+        size, want = min(8, len(given)), [False] * len(given)
+        for a in range(len(given) - size + 1):
+            part = given[a : a + size]
+            total = sum(index.weight.get(w, index.rare) for w in part)
+            best = max((sum(index.weight[w] for w in part if e in index.of.get(w, ())) for e in range(index.given)), default=0)
+            if best >= SCORE * total and 2 * part.count("9") <= size:
+                want[a : a + size] = [True] * size
+        assert covered_words(given, index, labels=False).tolist() == want
+
+
+def test_kept_texts_give_the_same_features():
+    page = "<title>A page of it</title><h1>A page of it</h1><p>In 1999 %s</p><p>_x_ y</p><p>%s</p>" % ("it was 12 years old. " * 30, "w" * 70)
+    first, again = features(*parse(page)), features(*parse(page))
+    assert all((a == b).all() for a, b in zip(first, again)) and first.measures[1][10] > 0

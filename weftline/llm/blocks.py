@@ -53,6 +53,14 @@ TRAIN_PAGES, EPOCHS = 1500, 12
 TRAIN_BYTES = 100_000
 
 
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
+
+
+@lru_cache(maxsize=20_000)
+def _role(attributes: str) -> str:
+    return " ".join(" ".join(_NAMED.findall(attributes)).lower().split())
+
+
 class Block(NamedTuple):
     """One leaf block: text, share of it in links, elements from the root to it, their names, their numbers."""
 
@@ -74,7 +82,7 @@ def parse(page: str) -> tuple[list[Block], str]:
     rule = False
 
     def flush() -> None:
-        nonlocal parts, linked, rule
+        nonlocal parts, rule
         if parts:
             raw = "".join(parts)
             text = " ".join(html.unescape(raw).split())
@@ -83,11 +91,19 @@ def parse(page: str) -> tuple[list[Block], str]:
                 blocks.append(Block(text, min(1.0, linked / max(1, len(raw.strip()))), names, roles, nodes, rule))
                 rule = False
             parts = []
-        linked = 0
 
     pos, size = 0, len(page)
     match = _TOKEN.match
     while pos < size:
+        if page[pos] != "<":
+            end = page.find("<", pos)
+            token = page[pos : end if end >= 0 else size]
+            pos += len(token)
+            if parts or not token.isspace():
+                parts.append(token)
+                if links:
+                    linked += len(token.strip())
+            continue
         m = match(page, pos)
         pos = m.end()
         name = m.group(2)
@@ -104,7 +120,9 @@ def parse(page: str) -> tuple[list[Block], str]:
             if name == "a":
                 links = max(0, links - 1) if closing else links + 1
             continue
-        flush()
+        if parts:
+            flush()
+        linked = 0
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
@@ -113,7 +131,7 @@ def parse(page: str) -> tuple[list[Block], str]:
             links = 0
             continue
         if name in HIDDEN:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
+            end = _END[name].search(page, pos)
             if name == "title" and not title:
                 title = " ".join(html.unescape(page[pos : end.start() if end else size]).split())
             pos = end.end() if end else size
@@ -128,7 +146,7 @@ def parse(page: str) -> tuple[list[Block], str]:
             if stack[k][0] in ("ul", "ol", "table", "div"):
                 break
         count += 1
-        role = " ".join(w for w in " ".join(_NAMED.findall(m.group(3))).lower().split()) if "=" in m.group(3) else ""
+        role = _role(m.group(3)) if "=" in m.group(3) else ""
         stack.append((name, role, count))
     flush()
     return blocks, title
@@ -144,8 +162,10 @@ def headline(blocks: list[Block], title: str) -> int:
     want = block_key(title)
     if len(want) >= 8:
         for i, b in enumerate(blocks):
+            if b.linked >= 0.9:
+                continue
             key = block_key(b.text)
-            if len(key) >= 8 and b.linked < 0.9 and (want.startswith(key) or key.startswith(want)):
+            if len(key) >= 8 and (want.startswith(key) or key.startswith(want)):
                 return i
     return next((i for i, b in enumerate(blocks) if "h1" in b.names), -1)
 
@@ -245,6 +265,32 @@ def _path_buckets(names: tuple[str, ...], roles: tuple[str, ...], hide: bool) ->
     return tuple(out)
 
 
+class _Texts(dict):
+    """What features take from the text of a block alone; short texts are kept, as menus and notices come again and again."""
+
+    def __missing__(self, text: str) -> tuple:
+        found = _WORD.findall(text.lower())
+        first = found[:2]
+        plain = sum(map(len, first)) < 50 and "_" not in text[:60]  # else the words may be cut
+        got = (
+            [*map(_WORD_BUCKETS.__getitem__, found or ["-"])],
+            [_PATH_BUCKETS["i" + w] for w in ((" ".join(first[:1]), " ".join(first)) if plain else _intro(text))],
+            min(len(text), 800) / 200,
+            text[-1] in ".!?…。”\"",
+            "©" in text or "(c)" in text,
+            sum([len(w) for w in found if w[0].isdecimal()]) / len(text),
+            ":" in text[:14],
+        )
+        if len(text) <= 200:
+            if len(self) > 20_000:
+                self.clear()
+            self[text] = got
+        return got
+
+
+_TEXTS = _Texts()
+
+
 class Page(NamedTuple):
     """Features of a page: buckets of words, and of tag path and first words, with offsets per block, and measures."""
 
@@ -267,14 +313,13 @@ def features(blocks: list[Block], title: str, hide: bool = False) -> Page:
     words, word_at, paths, path_at, rows = [], [], [], [], []
     n = len(blocks)
     depth = max(1, len(top_nodes))
-    bucket = _WORD_BUCKETS.__getitem__
     for i, b in enumerate(blocks):
-        text = b.text
+        text_words, intro, length, ends, copyright, digits, colon = _TEXTS[b.text]
         word_at.append(len(words))
-        words.extend(map(bucket, _WORD.findall(text.lower()) or ["-"]))
+        words.extend(text_words)
         path_at.append(len(paths))
         paths.extend(_path_buckets(b.names[-4:], b.roles[-4:], hide))
-        paths.extend([_PATH_BUCKETS["i" + w] for w in _intro(text)])
+        paths.extend(intro)
         common = 0
         for x, y in zip(b.nodes, top_nodes):
             if x != y:
@@ -283,18 +328,18 @@ def features(blocks: list[Block], title: str, hide: bool = False) -> Page:
         s = share[b.nodes[-2] if len(b.nodes) > 1 else 0]
         rows.append(
             (
-                min(len(text), 800) / 200,
+                length,
                 b.linked,
                 s[0] / max(1.0, s[1]),
-                text[-1] in ".!?…。”\"",
+                ends,
                 i == top,
                 top >= 0 and i > top,
                 common / depth,
                 (len(top_nodes) - common) / 3,
                 _is_byline(b),
-                "©" in text or "(c)" in text,
-                len(_DIGIT.findall(text)) / len(text),
-                ":" in text[:14],
+                copyright,
+                digits,
+                colon,
                 i / n,
                 b.rule,
                 not _HEADS.isdisjoint(b.names[-2:]),

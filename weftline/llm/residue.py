@@ -204,14 +204,16 @@ def covered_words(words: list[str], index: Index, labels: bool = True) -> np.nda
     """Which words of a passage lie in a window that one exemplar contains to at least ``SCORE``, or (``labels``) all of a label to ``LABEL_SCORE``; harvested exemplars count with ``labels`` only."""
     n = len(words)
     hit = np.zeros(n, bool)
-    if index.of.keys().isdisjoint(words):
-        return hit
     size = min(WINDOW, n)
-    if n > 60 and not _may_cover(words, index):
+    if not n or n > 60 and not _may_cover(words, index):
         return hit
     weight = [index.weight.get(w, -index.rare) for w in words]
+    of_known = [w if w > 0 else 0.0 for w in weight]
+    # A window with a word of no exemplar needs this much from the others; one without is a run of known words.
+    if (1 - SCORE) * sum(of_known) < SCORE * index.rare - 1e-6 and "k" * size not in "".join(["k" if w > 0 else "u" for w in weight]):
+        return hit
     total = [0.0, *accumulate(map(abs, weight))]
-    known = [0.0, *accumulate(w if w > 0 else 0.0 for w in weight)]
+    known = [0.0, *accumulate(of_known)]
     numbers = [0, *accumulate(w == "9" for w in words)]
     labels, harvested = labels and size >= LABEL_WINDOW, labels
     for a in range(n - size + 1):
@@ -242,7 +244,9 @@ def _may_cover(words: list[str], index: Index) -> bool:
     size = WINDOW
     whole = np.append(total[size - 1], total[size:] - total[:-size])
     part = np.append(known[size - 1], known[size:] - known[:-size])
-    return bool((part >= SCORE * whole - 1e-9).any())
+    numbers = np.cumsum(np.fromiter((w == "9" for w in words), np.int64, len(words)))
+    numbers = np.append(numbers[size - 1], numbers[size:] - numbers[:-size])
+    return bool(((part >= SCORE * whole - 1e-9) & (2 * numbers <= size)).any())
 
 
 def placeholders(text: str) -> bool:
@@ -354,19 +358,27 @@ def frequencies(df: DataFrame, body: str, charset: Column, harvested: Iterable[s
     """Pages of ``df`` and, for each word of the exemplars, in how many of them it stands; any number is a 9."""
     known = vocabulary().union(*(line.split(" ") for line in harvested))
     written = {w.encode(): w for w in known}
+    ascii_words = frozenset(w for w in written if w.isascii())
     rows = df.where(F.length(df[body]) > 0).select(df[body].alias("b"), charset.alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, counts = 0, dict.fromkeys(known, 0)
+        inside: dict[bytes, set[str]] = {}  # known words in parts outside ASCII, whose punctuation is not taken apart yet
         for batch in batches:
             for b, c in zip(batch.column(0), batch.column(1)):
                 total += 1
                 text = declared_text(b.as_py(), c.as_py()).lower()
-                parts = set(text.encode("utf-8", "replace").translate(_APART).split())
-                found = {written[w] for w in written.keys() & parts}
-                for w in parts:
-                    if not w.isascii():  # punctuation outside ASCII is not taken apart yet
-                        found.update(known.intersection(words_of(w.decode())))
+                parts = text.encode("utf-8", "replace").translate(_APART).split()
+                found = {written[w] for w in ascii_words.intersection(parts)}
+                if not text.isascii():
+                    for w in [w for w in parts if not w.isascii()]:
+                        if (got := inside.get(w)) is None:
+                            if len(inside) > 50_000:
+                                inside.clear()
+                            got = known.intersection(words_of(w.decode()))
+                            if len(w) <= 100:
+                                inside[w] = got
+                        found |= got
                 if _DIGIT.search(text):
                     found.add("9")
                 for w in found & known:
